@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import quality, simhash
+import corpus_pipeline
+from tidewell.llm import chat, decontam, html_main, licenses, lm, packing, quality, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,12 +62,154 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (
+  SELECT doc_id, s, list_aggregate(w[s + 1 : s + 20], 'string_agg', ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS s FROM d WHERE len(w) >= 20)),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM wins),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM ranked WHERE k > 1),
+lists AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY 1),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
+#: Bytes of a shard in op5.
+SHARD_BYTES = 1 << 20
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sharding.extendible_shards(docs, "doc_id", F.col("n_bytes"), SHARD_BYTES)
+
+
+OP5_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+         ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS bits FROM documents),
+l AS (SELECT unnest(range(0, 33)) AS level),
+paths AS (SELECT doc_id, n_bytes, level, bits >> (32 - level)::INT AS prefix FROM d, l),
+large AS (SELECT level, prefix FROM paths GROUP BY 1, 2 HAVING sum(n_bytes) > {SHARD_BYTES} AND count(*) > 1),
+deep AS (SELECT doc_id, max(level) + 1 AS depth FROM paths JOIN large USING (level, prefix) GROUP BY 1)
+SELECT doc_id, n_bytes, substr(lpad(bin(bits), 32, '0'), 1, coalesce(depth, 0)::INT) AS shard,
+       coalesce(depth, 0)::INT AS shard_depth
+FROM d LEFT JOIN deep USING (doc_id)
+"""
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+OP6_SQL = r"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, list_aggregate(w[s + 1 : s + 13], 'string_agg', ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(0, greatest(0, len(w) - 13) + 1)) AS s FROM i WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT doc_id, n, s, list_aggregate(w[s + 1 : s + n], 'string_agg', ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, lens WHERE len(w) >= n)),
+hits AS (SELECT doc_id, s, n, win FROM dw WHERE win IN (SELECT win FROM iw)),
+cov AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY 1),
+its AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hits JOIN iw USING (win)) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql(
+        "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), "
+        "(-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    back = chat.read_chats(chat.format_chats(turns))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+m AS (
+  SELECT *, coalesce(lag(role) OVER w <> role, true) AS opens, coalesce(lead(role) OVER w <> role, true) AS closes
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+n AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '[\[\]<\\]')) AS text_chars,
+         length(role) + len(regexp_extract_all(role, '[\[\]<\\]')) AS role_chars FROM m)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(text_chars + CASE WHEN opens THEN role_chars + 2 ELSE 6 END + CASE WHEN closes THEN 4 ELSE 0 END)::BIGINT AS formatted_chars
+FROM n GROUP BY 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_simhash": op2_simhash,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_lm_score": op4_lm_score,
+        "op5_sharding": op5_sharding,
+        "op6_decontamination": op6_decontamination,
+        "op7_html_main_text": op7_html_main_text,
+        "op8_license_scan": op8_license_scan,
+        "op9_packing": op9_packing,
+        "op10_chat_format": op10_chat_format,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_sharding": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL}
