@@ -117,14 +117,19 @@ _DECAYED = f"""
 , decayed AS (
   SELECT user_id, article_id, feed_id, interest,
          interest / (1.0 + 0.1 * greatest(0.0, date_diff('second', published, TIMESTAMP '{NOW}') / 86400.0)) AS decayed
-  FROM state JOIN articles USING (article_id) WHERE interest >= 8.0 AND NOT read)
+  FROM state JOIN articles USING (article_id) WHERE interest >= 8.0 AND NOT read),
+decayed_sums AS (
+  SELECT user_id, article_id, sum(score) AS rule_score FROM (
+    SELECT DISTINCT d.user_id, d.article_id, r.rule_id, r.score FROM decayed d JOIN meta m USING (article_id)
+    JOIN rules r ON r.user_id = d.user_id AND lower(r.value) = m.value AND (r.feed_id IS NULL OR r.feed_id = d.feed_id)
+      AND m.kind = CASE WHEN r.axis = 'author' THEN 'author' ELSE 'category' END) GROUP BY 1, 2)
 """
 
 
 @query(
     "decayed_topk",
     _DECAYED + "SELECT article_id, feed_id, round(interest, 6) AS interest, round(decayed, 6) AS decayed FROM decayed d "
-    "LEFT JOIN sums USING (user_id, article_id) WHERE user_id = 1 AND coalesce(rule_score, 0) >= -1 ORDER BY d.decayed DESC, article_id DESC LIMIT 50",
+    "LEFT JOIN decayed_sums USING (user_id, article_id) WHERE user_id = 1 AND coalesce(rule_score, 0) >= -1 ORDER BY d.decayed DESC, article_id DESC LIMIT 50",
 )
 def decayed_topk(t: Tables) -> DataFrame:
     rows = reading.above_threshold(t, reading.decayed(t, NOW).where("user_id = 1"), -1)
