@@ -102,8 +102,7 @@ def _locate(window: int):
     kinds = pa.schema([("run", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("windows", pa.list_(pa.int64()))])
 
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-        recurring = np.unique(phrases.column("anchor").to_numpy()).view(np.uint64)
-        recurring.sort()
+        recurring = np.unique(phrases.column("anchor").to_numpy().view(np.uint64))
         ids: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         loaded = []
@@ -114,7 +113,8 @@ def _locate(window: int):
             h = word_hashes(words)
             hashes, at = anchors(h, window)
             own = np.unique(at)
-            own = own[np.isin(hashes[own], recurring)]
+            near = np.searchsorted(recurring, hashes[own]).clip(max=len(recurring) - 1)
+            own = own[recurring[near] == hashes[own]]
             if len(own):
                 seq = tuple(ids.setdefault(w, len(ids)) for w in words)
                 for p in own.tolist():
