@@ -7,8 +7,10 @@ segment tree over the capacities finds the tightest non-empty stack.  Documents
 are dealt evenly to groups of some ``GROUP`` documents, packed independently, so a
 group fits one task at any corpus size.
 
-Ids of a text are those of its chunks: the byte-level pattern never joins across a
-space that a non-space follows, so chunks cut there are encoded once and cached.
+Ids of a text are those of its chunks, as the byte-level pattern always starts anew
+at a space that a non-space follows, after a run of Latin letters that another ASCII
+character follows, and after a lone line break; short chunks are encoded once and cached.
+Texts that hold a special token's string are encoded whole.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are
 packed each; a null id stays null; an empty table gives an empty result; other
@@ -17,6 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,9 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewell.plans.scratch import materialize
 
-#: Documents of a packing group, and cached chunks of a worker.
-GROUP, CACHE = 20_000, 600_000
-_CUT = re.compile(r" (?=\S)")
+#: Documents of a packing group; cached chunks of a worker and their characters.
+GROUP, CACHE, CACHED_CHARS = 20_000, 900_000, 48
+#: A Latin word; a mark with a lone line break; all up to a space that a non-space follows.
+_CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-\x40\x5B-\x60\x7B-\x7F]|\Z)|[.,;:!?]\n(?=[A-Za-z])|(?s:.)[^ ]*(?: (?!\S)[^ ]*)*")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -38,22 +42,38 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes, by cached chunks."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task owns one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.chunks = Tokenizer.from_file(path), {}
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _encode_whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk from one call: a special token, which ends any other, parts them."""
+        if not self.specials:
+            return [self._encode_whole(x).tobytes() for x in chunks]
+        ids = self._encode_whole("".join([x + self.specials[0] for x in chunks]))
+        ends = np.flatnonzero(ids == self.tokenizer.token_to_id(self.specials[0])).tolist()
+        flat = ids.tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)]
 
     def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.specials):
+            return self._encode_whole(text).tobytes()
         known = self.chunks
-        first, *rest = _CUT.split(text)
-        parts = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        new = [x for x in dict.fromkeys(parts) if x not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[x] for x in parts])
+        parts = _CHUNK.findall(text)
+        new = list(set(parts).difference(known))
+        if not new:
+            return b"".join(map(known.__getitem__, parts))
+        fresh = dict(zip(new, self._encode_chunks(new), strict=True))
+        ids = b"".join([known[x] if x in known else fresh[x] for x in parts])
+        if len(known) > CACHE:
+            known.clear()
+        known.update((x, i) for x, i in fresh.items() if len(x) <= CACHED_CHARS)
+        return ids
 
 
 def encoder(path: str) -> Encoder:
