@@ -14,7 +14,7 @@ windows of equal words own equal anchors.
    (smallest id, then start) of every window.  Places that are not the first are
    removed.
 
-A shard is ``SHARD_BYTES`` of text (or one longer document), and so bounds its
+A shard is some ``SHARD_BYTES`` of text (or one longer document), and so bounds its
 automaton; hot phrases are sums and minima, never collected groups.
 
 Defined cases: null and empty texts hold no words; documents below ``window`` words
@@ -36,22 +36,42 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.llm.text import plain_words
+from tidewell.llm.text import encode, plain_words
 from tidewell.plans.scratch import materialize
 
-ANCHOR, SHARD_BYTES, CACHE = 8, 8 << 20, 500_000
+ANCHOR, SHARD_BYTES, BLOCK = 8, 4 << 20, 1 << 20
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_HASHES: dict[bytes, int] = {}
 _PARTS = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+_POWERS = np.multiply.accumulate(np.full(BLOCK, 0xBF58476D1CE4E5B9, np.uint64))
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _HASHES
-    if len(known) > CACHE:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hash of every plain word: a polynomial of its bytes, mixed with its length.
+
+    Words are taken some ``BLOCK`` bytes at a time; a longer word is hashed alone.
+    """
+    raw = np.frombuffer(encode(text), np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[raw], True]))
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        if sizes[k] > BLOCK:
+            out[k] = xxhash.xxh64_intdigest(raw[starts[k] : starts[k] + sizes[k]].tobytes())
+            k += 1
+            continue
+        end = max(k + 1, int(np.searchsorted(starts, starts[k] + BLOCK)))
+        end = end - 1 if sizes[end - 1] > BLOCK else end
+        a, z = starts[k:end] - starts[k], starts[end - 1] + sizes[end - 1]
+        part = raw[starts[k] : z]
+        place = np.arange(len(part)) - np.repeat(a, np.diff(np.r_[a, len(part)]))
+        own = np.where(_SPACE[part], 0, _POWERS[np.minimum(place, BLOCK - 1)] * (part.astype(np.uint64) + np.uint64(1)))
+        h = np.add.reduceat(own.astype(np.uint64), a) + sizes[k:end].astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        out[k:end] = h ^ (h >> np.uint64(29))
+        k = end
+    return out
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -81,10 +101,10 @@ def _emit_anchors(window: int):
         for batch in batches:
             shards, keys, counts = [], [], []
             for shard, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = plain_words(text.as_py())
-                if len(words) < window:
+                h = word_hashes(text.as_py())
+                if len(h) < window:
                     continue
-                phrases, at = anchors(word_hashes(words), window)
+                phrases, at = anchors(h, window)
                 found, n = np.unique(phrases[np.unique(at)], return_counts=True)
                 shards.append(np.full(len(found), shard.as_py(), np.int32))
                 keys.append(found.view(np.int64))
@@ -107,16 +127,15 @@ def _locate(window: int):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         loaded = []
         for k, text in enumerate(docs.column("text") if len(recurring) else []):
-            words = plain_words(text.as_py())
-            if len(words) < window:
+            h = word_hashes(text.as_py())
+            if len(h) < window:
                 continue
-            h = word_hashes(words)
             hashes, at = anchors(h, window)
             own = np.unique(at)
             near = np.searchsorted(recurring, hashes[own]).clip(max=len(recurring) - 1)
             own = own[recurring[near] == hashes[own]]
             if len(own):
-                seq = tuple(ids.setdefault(w, len(ids)) for w in words)
+                seq = tuple([ids.setdefault(w, len(ids)) for w in plain_words(text.as_py())])
                 for p in own.tolist():
                     automaton.add_word(seq[p : p + ANCHOR], 1)
                 loaded.append((k, seq, rolling(h, window), at))
