@@ -179,6 +179,24 @@ def test_substring_dedup(odd, empty):
     assert substring.without_repeats(empty).count() == 0
 
 
+def test_substring_dedup_of_periodic_texts(spark):
+    cycles = {k: [f"p{k}x{j}" for j in range(k)] for k in (1, 2, 5, 7, 12, 13, 19)}
+    rows = [(k, " ".join((c * 60)[:n])) for k, c in cycles.items() for n in (20 + k, 57 + k)]
+    rows = [(10 * d + i, t) for i, (d, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.deduplicated(docs).select("row.doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_substring(rows, 20))
+
+
+def test_word_hashes_follow_the_words():
+    long = "y" * (substring.BLOCK + 3)
+    words = ["a", "b", "ab", "ba", long, "é", "z" * (substring.BLOCK - 1), "a", long, *["ab", "c"] * substring.BLOCK]
+    h = substring.word_hashes("\t" + " \n".join(words) + " ")
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
+    own = {w: substring.word_hashes(w)[0] for w in set(words)}
+    assert [own[w] for w in words] == h.tolist()
+
+
 # --- language model ----------------------------------------------------------
 
 

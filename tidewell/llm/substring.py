@@ -6,13 +6,15 @@ windows of equal words own equal anchors.
 
 1. Anchors are counted over the whole corpus; those found twice are the recurring
    phrases, and each shard of documents learns which of them it holds.
-2. Per shard, an Aho-Corasick automaton over word ids is compiled from its
-   recurring phrases and all its documents are streamed through it.  Windows whose
-   anchor was located are candidates; neighbours that share an anchor travel as one
-   run (hash of its words, place, hashes of its windows).
-3. Equal runs are aggregated, then the windows of distinct runs, to the first place
-   (smallest id, then start) of every window.  Places that are not the first are
-   removed.
+2. Documents are put in order (id, then the text's hash), and running sums of their
+   bytes give each a base: base plus word position is a *place*, one long.
+3. Per shard, an Aho-Corasick automaton over words is compiled from its recurring
+   phrases and all its documents that hold some are streamed through it.  Windows
+   whose anchor was located are candidates; neighbours that share an anchor travel as
+   one run (hash of its words, place, hashes of its windows).
+4. Runs are aggregated to their first place, then the windows of distinct runs to
+   theirs.  Later places of a run go whole; at its first place those windows go that
+   another run holds earlier.
 
 A shard is some ``SHARD_BYTES`` of text (or one longer document), and so bounds its
 automaton; hot phrases are sums and minima, never collected groups.
@@ -33,40 +35,46 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.text import encode, plain_words
 from tidewell.plans.scratch import materialize
 
-ANCHOR, SHARD_BYTES, BLOCK = 8, 4 << 20, 1 << 20
+ANCHOR, SHARD_BYTES, BLOCK = 8, 4 << 20, 1 << 16
+#: A place is a document's base plus a word's position: bases within a range
+#: partition add up text bytes, and the partition's number stands above these bits.
+PART_BITS = 40
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PARTS = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-_POWERS = np.multiply.accumulate(np.full(BLOCK, 0xBF58476D1CE4E5B9, np.uint64))
+_BASE = 0xBF58476D1CE4E5B9
+_POWERS, _INVERSES = (np.multiply.accumulate(np.full(BLOCK, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hash of every plain word: a polynomial of its bytes, mixed with its length.
 
-    Words are taken some ``BLOCK`` bytes at a time; a longer word is hashed alone.
+    Words are taken some ``BLOCK`` bytes at a time, as differences of running sums;
+    a longer word is hashed alone.
     """
     raw = np.frombuffer(encode(text), np.uint8)
-    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[raw], True]))
-    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    sizes = ends - starts
     out, k = np.empty(len(starts), np.uint64), 0
     while k < len(starts):
-        if sizes[k] > BLOCK:
-            out[k] = xxhash.xxh64_intdigest(raw[starts[k] : starts[k] + sizes[k]].tobytes())
+        if sizes[k] >= BLOCK:
+            out[k] = xxhash.xxh64_intdigest(raw[starts[k] : ends[k]].tobytes())
             k += 1
             continue
-        end = max(k + 1, int(np.searchsorted(starts, starts[k] + BLOCK)))
-        end = end - 1 if sizes[end - 1] > BLOCK else end
-        a, z = starts[k:end] - starts[k], starts[end - 1] + sizes[end - 1]
-        part = raw[starts[k] : z]
-        place = np.arange(len(part)) - np.repeat(a, np.diff(np.r_[a, len(part)]))
-        own = np.where(_SPACE[part], 0, _POWERS[np.minimum(place, BLOCK - 1)] * (part.astype(np.uint64) + np.uint64(1)))
-        h = np.add.reduceat(own.astype(np.uint64), a) + sizes[k:end].astype(np.uint64)
+        at = starts[k]
+        end = int(np.searchsorted(ends, at + BLOCK))
+        sums = np.zeros(ends[end - 1] - at + 1, np.uint64)
+        np.cumsum((raw[at : ends[end - 1]] + np.uint64(1)) * _POWERS[: len(sums) - 1], out=sums[1:])
+        h = (sums[ends[k:end] - at] - sums[starts[k:end] - at]) * _INVERSES[starts[k:end] - at]
+        h += sizes[k:end].astype(np.uint64)
         h ^= h >> np.uint64(32)
         h *= _MIX
         out[k:end] = h ^ (h >> np.uint64(29))
@@ -86,10 +94,19 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase hashes, anchor position of each window) of a document's word hashes."""
-    phrases = rolling(h, ANCHOR)
-    view = np.lib.stride_tricks.sliding_window_view(phrases, window - ANCHOR + 1)
-    return phrases, view.argmin(axis=1) + np.arange(len(view))
+    """(phrase hashes, anchor position of each window) of a document's word hashes.
+
+    The leftmost of equal phrases is taken, so overlapping equal windows of a
+    periodic text own different places.
+    """
+    phrases, k = rolling(h, ANCHOR), window - ANCHOR + 1
+    least, at, width = phrases, np.arange(len(phrases)), 1
+    while width < k:
+        step = min(width, k - width)
+        right = least[step:] < least[:-step]
+        least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
+        width += step
+    return phrases, at
 
 
 def row_key(id_col: str, text: str) -> Column:
@@ -105,7 +122,7 @@ def _emit_anchors(window: int):
                 if len(h) < window:
                     continue
                 phrases, at = anchors(h, window)
-                found, n = np.unique(phrases[np.unique(at)], return_counts=True)
+                found, n = np.unique(phrases[np.flatnonzero(np.bincount(at))], return_counts=True)
                 shards.append(np.full(len(found), shard.as_py(), np.int32))
                 keys.append(found.view(np.int64))
                 counts.append(n)
@@ -116,93 +133,127 @@ def _emit_anchors(window: int):
     return run
 
 
+def _bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_key, part, bytes) of one range partition in order to (row_key, base)."""
+    total = 0
+    for batch in batches:
+        sizes = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) << PART_BITS
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part + total + np.cumsum(sizes) - sizes)], ["row_key", "base"])
+        total += int(sizes.sum())
+
+
+def _symbols(ids: np.ndarray) -> str:
+    """Two characters per word id, from sets that do not meet; no node of an automaton has many children."""
+    pairs = np.stack([(ids >> 8) + 0x10000, (ids & 255) + 0x100], axis=1).astype("<u4")
+    return pairs.tobytes().decode("utf-32-le")
+
+
 def _locate(window: int):
-    """Cogrouped (documents, recurring anchors) of one shard to runs of candidate windows."""
-    names = ["run", "row", "start", "windows"]
-    kinds = pa.schema([("run", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("windows", pa.list_(pa.int64()))])
-
-    def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-        recurring = np.unique(phrases.column("anchor").to_numpy().view(np.uint64))
-        ids: dict[bytes, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    """Cogrouped (documents, recurring anchors and bases) of one shard to runs of candidate windows."""
+    kinds = pa.schema([("run", pa.int64()), ("row_key", pa.int64()), ("place", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("windows", pa.list_(pa.int64()))])
+
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        based = known.column("base").is_valid()
+        bases = dict(zip(*(known.filter(based).column(c).to_pylist() for c in ("anchor", "base")), strict=True))
+        recurring = np.unique(known.filter(pc.invert(based)).column("anchor").to_numpy().view(np.uint64))
+        texts = {}
+        for k, key in enumerate(docs.column("row_key").to_pylist()):
+            texts.setdefault(key, k)
         loaded = []
-        for k, text in enumerate(docs.column("text") if len(recurring) else []):
-            h = word_hashes(text.as_py())
+        for key in sorted(texts, key=bases.__getitem__) if len(recurring) else []:
+            h = word_hashes(docs.column("text")[texts[key]].as_py())
             if len(h) < window:
                 continue
             hashes, at = anchors(h, window)
-            own = np.unique(at)
+            own = np.flatnonzero(np.bincount(at))
             near = np.searchsorted(recurring, hashes[own]).clip(max=len(recurring) - 1)
             own = own[recurring[near] == hashes[own]]
             if len(own):
-                seq = tuple([ids.setdefault(w, len(ids)) for w in plain_words(text.as_py())])
-                for p in own.tolist():
-                    automaton.add_word(seq[p : p + ANCHOR], 1)
-                loaded.append((k, seq, rolling(h, window), at))
-        out, seen = {n: [] for n in names}, set()
-        if loaded:
-            automaton.make_automaton()
-        for k, seq, wins, at in loaded:
-            located = np.zeros(len(seq), bool)
-            located[[end - ANCHOR + 1 for end, _ in automaton.iter(seq)]] = True
+                loaded.append((key, h, at, own, hashes[own]))
+        if not loaded:
+            return kinds.empty_table()
+        vocabulary = np.unique(np.concatenate([np.unique(x[1]) for x in loaded]))
+        automaton, added, streams = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), set(), []
+        for _, h, _, own, hashes in loaded:
+            symbols = _symbols(np.searchsorted(vocabulary, h))
+            for p, phrase in zip((2 * own).tolist(), hashes.tolist(), strict=True):
+                if phrase not in added:
+                    added.add(phrase)
+                    automaton.add_word(symbols[p : p + 2 * ANCHOR])
+            streams.append(symbols)
+        automaton.make_automaton()
+        out, seen = {c: [] for c in kinds.names[:-1]}, set()
+        values, ends, fresh = [], [0], []
+        for (key, h, at, _, _), symbols in zip(loaded, streams, strict=True):
+            located = np.zeros(len(h), bool)
+            located[[end // 2 - ANCHOR + 1 for end, _ in automaton.iter(symbols)]] = True
             cand = np.flatnonzero(located[at])
             if not len(cand):
                 continue
+            wins = rolling(h, window)
             first = np.flatnonzero(np.r_[True, np.diff(at[cand]) != 0])
             last = np.r_[first[1:], len(cand)] - 1
             a, b = cand[first], cand[last]
             runs = (wins[a] * _MULT + wins[b]) * _MULT + (b - a).astype(np.uint64)
             runs = (runs ^ (runs >> np.uint64(31))).view(np.int64)
-            signed = wins.view(np.int64)
-            out["run"] += runs.tolist()
-            out["row"] += [k] * len(runs)
-            out["start"] += a.tolist()
+            for c, x in zip(out, (runs, np.full(len(runs), key), bases[key] + a, a, b - a + 1), strict=True):
+                out[c].append(x)
             for r, i, j in zip(runs.tolist(), a.tolist(), b.tolist(), strict=True):
-                out["windows"].append(None if r in seen else signed[i : j + 1].tolist())
-                seen.add(r)
-        found = pa.table(out, schema=kinds)
-        rows = docs.select(["doc_id", "row_key"]).take(found.column("row"))
-        return pa.table([found.column("run"), *rows.columns, found.column("start"), found.column("windows")], names=["run", "doc_id", "row_key", "start", "windows"])
+                fresh.append(r not in seen)
+                if fresh[-1]:
+                    seen.add(r)
+                    values.append(wins[i : j + 1])
+                ends.append(ends[-1] + (j - i + 1) * fresh[-1])
+        columns = [pa.array(np.concatenate(out[c]) if out[c] else [], kinds.field(c).type) for c in out]
+        flat = pa.array(np.concatenate(values).view(np.int64) if values else [], pa.int64())
+        windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        windows = pc.if_else(pa.array(fresh, pa.bool_()), windows, pa.scalar(None, windows.type))
+        return pa.Table.from_arrays([*columns, windows], schema=kinds)
 
     return run
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """(row_key, starts): windows of a document that also start earlier."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(row_key, spans): where a document holds windows that also start earlier.
+
+    A span is the first window's start and the number of windows from there.
+    """
     narrow = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text).alias("row_key"), F.col(text).alias("text"))
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    sharded = narrow.withColumn("shard", F.pmod("row_key", F.lit(size // SHARD_BYTES + 1)).cast("int"))
+    sizes = narrow.select("doc_id", "row_key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    sizes = materialize(sizes.groupBy("doc_id", "row_key").agg(F.max("n").alias("n")), "sizes")
+    shards = (sizes.agg(F.sum("n")).first()[0] or 0) // SHARD_BYTES + 1
+    shard = F.pmod("row_key", F.lit(shards)).cast("int").alias("shard")
+    ordered = sizes.repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
+    bases = ordered.select("row_key", F.spark_partition_id().alias("part"), "n").mapInArrow(_bases, "row_key long, base long")
+    bases = materialize(bases, "bases").select(shard, F.col("row_key").alias("anchor"), "base")
+    sharded = narrow.select(shard, "row_key", "text")
     counted = sharded.select("shard", "text").mapInArrow(_emit_anchors(window), "shard int, anchor long, n long")
     counted = materialize(counted.groupBy("shard", "anchor").agg(F.sum("n").alias("n")), "anchors")
     recurring = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    recurring = materialize(counted.join(recurring, "anchor", "left_semi").select("shard", "anchor"), "recurring")
-    schema = f"run long, doc_id {kind}, row_key long, start int, windows array<long>"
-    located = sharded.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_locate(window), schema)
-    runs = materialize(located, "runs")
-    place = F.struct("doc_id", "row_key", "start")
-    distinct = runs.groupBy("run").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"))
-    wins = materialize(distinct.select("run", "p", "n", F.posexplode("windows").alias("i", "win")), "windows")
-    first = F.min(F.struct(F.col("p.doc_id").alias("doc_id"), F.col("p.row_key").alias("row_key"), (F.col("p.start") + F.col("i")).alias("start")))
-    firsts = wins.groupBy("win").agg(first.alias("f"), F.sum("n").alias("n")).where("n > 1").select("win", "f")
-    by_run = materialize(wins.join(firsts, "win").groupBy("run").agg(F.collect_list(F.struct("i", "f")).alias("fs")), "firsts")
-    own = F.struct("doc_id", "row_key", "start")
-
-    def elsewhere(x: Column) -> Column:
-        here = F.struct(own["doc_id"].alias("doc_id"), own["row_key"].alias("row_key"), (own["start"] + x["i"]).alias("start"))
-        return ~x["f"].eqNullSafe(here)
-
-    starts = F.transform(F.filter("fs", elsewhere), lambda x: F.col("start") + x["i"])
-    lost = runs.join(by_run, "run").select("row_key", starts.alias("s")).where("size(s) > 0")
-    return materialize(lost.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("starts")), "removals")
-
-
-def removed_mask(n: int, starts: list[int] | None, window: int) -> np.ndarray:
+    recurring = counted.join(recurring.hint("shuffle_hash"), "anchor", "left_semi").select("shard", "anchor", F.lit(None).cast("long").alias("base"))
+    known = materialize(recurring.union(bases), "recurring")
+    schema = "run long, row_key long, place long, start int, n int, windows array<long>"
+    runs = materialize(sharded.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_locate(window), schema), "runs")
+    # Within its shard the first place of a run carries the windows, so the first of all does.
+    firsts = materialize(runs.groupBy("run").agg(F.min("place").alias("p"), F.count(F.lit(1)).alias("times")), "firsts")
+    carried = runs.where("windows IS NOT NULL").select("run", "place", "windows").join(firsts.select("p").hint("shuffle_hash"), F.col("place") == F.col("p"))
+    wins = carried.select("run", "p", F.posexplode("windows").alias("i", "win"))
+    wins = materialize(wins.select("run", "i", "win", (F.col("p") + F.col("i")).alias("at")), "windows")
+    earliest = wins.groupBy("win").agg(F.min("at").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("win", "f")
+    late = wins.join(earliest.hint("shuffle_hash"), "win").where("f < at").groupBy("run").agg(F.collect_list("i").alias("late"))
+    marks = firsts.join(late, "run", "left").where("times > 1 OR late IS NOT NULL").select("run", "p", "late")
+    marks = materialize(marks, "marks")
+    here = F.transform("late", lambda i: F.struct((F.col("start") + i).alias("a"), F.lit(1).alias("n")))
+    spans = F.when(F.col("place") == F.col("p"), here).otherwise(F.array(F.struct(F.col("start").alias("a"), F.col("n"))))
+    lost = runs.drop("windows").join(marks, "run").select("row_key", spans.alias("spans")).where("spans IS NOT NULL")
+    return materialize(lost.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "removals")
+
+
+def removed_mask(n: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
     step = np.zeros(n + 1, np.int64)
-    if starts:
-        at = np.array(starts)
-        np.add.at(step, at, 1)
-        np.add.at(step, at + window, -1)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + counts + window - 1, -1)
     return np.cumsum(step)[:n] > 0
 
 
@@ -220,12 +271,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for body, starts in zip(batch.column(1), batch.column(2), strict=True):
-                body, starts = body.as_py(), starts.as_py()
+            for body, spans in zip(batch.column(1), batch.column(2), strict=True):
+                body = body.as_py()
                 words = plain_words(body)
                 kept, kept_text, n = words, body, 0
-                if starts:
-                    gone = removed_mask(len(words), starts, window)
+                if spans.is_valid:
+                    gone = removed_mask(len(words), *(spans.values.field(k).to_numpy() for k in ("a", "n")), window)
                     n = int(gone.sum())
                     kept = [w for w, g in zip(words, gone, strict=True) if not g]
                     kept_text = "".join(p for p, g in zip(_PARTS.findall(body), gone, strict=True) if not g)
@@ -235,7 +286,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names)
 
     row_type = joined.schema["row"].dataType.simpleString()
-    return joined.select("row", "body", "starts").mapInArrow(run, f"row {row_type}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return joined.select("row", "body", "spans").mapInArrow(run, f"row {row_type}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, n_chars: str | None = "n_chars") -> DataFrame:
