@@ -143,6 +143,52 @@ def test_near_duplicates_keep_one(spark, empty):
     assert near.keep_one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.6, 0.7, 0.75, 0.79, 0.8, 0.82, 0.85])
+def test_near_pairs_are_judged_by_exact_similarity(spark, share):
+    """Pairs planted at a Jaccard similarity: all from 0.8 on are found, none below."""
+    rows = []
+    for k in range(40):
+        # 500 shingles of distinct words; each changed word ends in five of the copy's
+        base = [f"w{k}x{i}" for i in range(504)]
+        own = round(500 * (1 - share) / (1 + share))
+        if own and share >= 0.8:  # not below the limit by rounding
+            own = int(500 * (1 - share) / (1 + share) + 1e-9)
+        copy = base[: 504 - own] + [f"v{k}x{i}" for i in range(own)]
+        rows += [(2 * k, " ".join(base), "a"), (2 * k + 1, " ".join(copy), "a")]
+    docs = spark.createDataFrame(rows_of(*rows), DOCS)
+    kept = sorted(r.doc_id for r in near.keep_one_of_each(docs).collect())
+    assert kept == (list(range(0, 80, 2)) if share >= 0.8 else list(range(80)))
+
+
+def test_near_duplicates_count_shingles_once(spark):
+    line = "one two three four five six seven eight nine ten "
+    docs = spark.createDataFrame(rows_of((1, line * 2, "a"), (2, line * 30, "a"), (3, line * 2 + "eleven", "a")), DOCS)
+    assert sorted(r.doc_id for r in near.keep_one_of_each(docs).collect()) == [1]
+
+
+def test_crowded_family_against_brute_force(spark):
+    """Pages of one template: far ones all stay, each near copy finds its page in the crowd."""
+    template = [f"t{i}" for i in range(300)]
+    rows = []
+    for k in range(150):
+        page = template + [f"p{k}x{i}" for i in range(90)]
+        rows.append((10 * k, " ".join(page), "a"))
+        if k % 3 == 0:  # 0.8 or a little more with its own page only
+            rows.append((10 * k + 1, " ".join(page[:-40] + [f"q{k}x{i}" for i in range(40)]), "a"))
+    sets = [set(near.shingle_set(t).tolist()) for _, t, _ in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            if 9 * shared >= 4 * (len(a) + len(sets[j])):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    want = sorted(min(rows[i][0] for i in range(len(rows)) if label[i] == g) for g in set(label))
+    assert 100 < len(want) < len(rows)
+    got = near.keep_one_of_each(spark.createDataFrame(rows_of(*rows), DOCS))
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 # --- substring ---------------------------------------------------------------
 
 
