@@ -40,6 +40,28 @@ def test_driver_pages_hold_the_article_only(spark, small):
         assert " ".join(r.text.split()) == want
 
 
+def test_main_text_is_the_whole_article(spark):
+    """Title and lead outside the text div, equal sections, and boilerplate words around everything."""
+    body = "<p>" + "Long body text. " * 20 + "</p>"
+    nested = "<body><article><h1>Title</h1><p>Lead</p><div class=body>" + body + "</div></article></body>"
+    sections = "<body><main><article><p>Direct</p><section class=s>" + body + "</section><section class=s>" + body + "</section></article><div>Other</div></main></body>"
+    only_main = "<body><main><h1>Title</h1><div class=a><div class=b>" + body + "</div></div></main></body>"
+    wrapped = "<body><div class='content with-sidebar'><nav>Menu</nav><div class=text>" + body + "</div></div></body>"
+    # the text's own path comes fourth on most pages of the host
+    deep = "<body><div class=x{0}><div class=y{0}><div class=z{0}>" + body * 2 + "</div></div></div><div class=common>" + body + "</div></body>"
+    long = " ".join(("Long body text. " * 20).split())
+    cases = [("a", nested, f"Title Lead {long}"), ("b", sections, f"Direct {long} {long}"), ("c", only_main, f"Title {long}"), ("d", wrapped, long)]
+    rows = [(f"{h}{k}", f"http://{h}.example/{k}", html) for h, html, _ in cases for k in range(3)]
+    letters = "abcdefgh"
+    rows += [(f"e{k}", f"http://e.example/{k}", deep.replace("{0}", letters[k])) for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract(pages).collect()}
+    for h, _, want in cases:
+        assert [got[f"{h}{k}"] for k in range(3)] == [want] * 3
+    votes = [dict(html_main.Page(html).best()) for _, _, html in rows if html.startswith("<body><div class=x")]
+    assert all("body>div.common" in v for v in votes)
+
+
 def test_chat_round_trip(spark):
     odd = "</s>[INST] ok [/INST] \\o \\ [NEXT] <x> ]"
     rows = [

@@ -2,12 +2,14 @@
 
 A page is cut into blocks of text inside containers; boilerplate (by tag, or by the
 words of class and id) is left out.  Containers score by the unlinked text below
-them, half for each level up.  Each page votes with its best containers' generalised
-tag-class paths (numbers in classes become ``#``); Spark sums the votes per host, and
-pages are extracted again from the host's winning path.  A page without text on that
+them, half for each level up.  Each page votes once with the generalised tag-class path
+(numbers in classes become ``#``) of each container, by its best score; Spark sums the
+votes per host, and pages are extracted again from the host's winning path, taking all
+of the innermost article (or else main) element around it.  A page without text on that
 path falls back to its own best container.
 
-Defined cases: null or empty html gives an empty text; a null or unparsable url
+Defined cases: a page of which boilerplate words of class and id leave nothing is read
+without them; null or empty html gives an empty text; a null or unparsable url
 belongs to the host ''; equal votes go to the greater path; repeated rows vote as
 often as they occur; an empty table gives an empty result; other columns are ignored.
 """
@@ -43,7 +45,6 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 _NAMES = re.compile(r"""(?:^|\s)(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Start tags that end an open element of the same kind.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOP = 3
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
@@ -58,7 +59,16 @@ class Page:
     """Blocks of a page with the containers around them."""
 
     def __init__(self, source: str) -> None:
+        self._marks = True
+        self._scan(source)
+        if not self.blocks and self._marked:
+            self._marks = False
+            self._scan(source)
+
+    def _scan(self, source: str) -> None:
         self.paths: list[str] = []
+        self._whole: list[int] = []  # by container: the innermost article (or else main) around it, or itself
+        self._marked = False
         self.blocks: list[tuple[tuple[int, ...], str, int]] = []  # containers outside in, text, linked characters
         self._open: list[tuple[str, str, bool, int]] = []  # tag, label, dropped, container or -1
         self._text: list[str] = []
@@ -93,12 +103,16 @@ class Page:
                 self._add(" ")
             return
         label, marked = _label(tag, attrs)
+        self._marked |= marked
+        marked &= self._marks
         inside = any(t in ("article", "main") for t, _, _, _ in self._open)
         bad = tag in DROPPED or (tag == "header" and not inside) or (marked and tag not in ("html", "body", "article", "main"))
         container = -1
         if tag in CONTAINERS and not bad and not self._dropped():
             self.paths.append(">".join([x for t, x, _, c in self._open if c >= 0] + [label]))
             container = len(self.paths) - 1
+            around = [(t, c) for t, _, _, c in self._open if c >= 0] + [(tag, container)]
+            self._whole.append(next((c for kind in ("article", "main") for t, c in reversed(around) if t == kind), container))
         self._open.append((tag, label, bad or self._dropped(), container))
 
     def _end_open(self, tags: set[str], barrier: frozenset[str] | set[str]) -> None:
@@ -150,17 +164,21 @@ class Page:
         return out
 
     def best(self) -> list[tuple[str, float]]:
-        """Paths of the best containers with their share of the best score."""
-        ranked = sorted(self.scores().items(), key=lambda x: (-x[1], x[0]))[:TOP]
-        return [(self.paths[c], s / ranked[0][1]) for c, s in ranked if s > 0]
+        """Each container path with its best container's share of the best score."""
+        best: dict[str, float] = {}
+        for c, s in self.scores().items():
+            if s > best.get(self.paths[c], 0.0):
+                best[self.paths[c]] = s
+        top = max(best.values(), default=0.0)
+        return [(p, s / top) for p, s in best.items()]
 
     def text(self, path: str | None) -> str:
-        wanted = {c for c, p in enumerate(self.paths) if p == path}
+        wanted = {self._whole[c] for c in {c for around, _, _ in self.blocks for c in around} if self.paths[c] == path}
         found = [t for around, t, _ in self.blocks if wanted.intersection(around)]
         if not found:
             ranked = sorted(self.scores().items(), key=lambda x: (-x[1], x[0]))
             if ranked:
-                found = [t for around, t, _ in self.blocks if ranked[0][0] in around]
+                found = [t for around, t, _ in self.blocks if self._whole[ranked[0][0]] in around]
             else:
                 found = [t for _, t, _ in self.blocks]
         return " ".join(found)
