@@ -64,3 +64,15 @@ def test_clean_title_and_garbage(spark):
     df = spark.createDataFrame([("Hi: https://x.y/z", "### User: do"), ("Plain", "fine")], "t string, g string")
     got = df.select(text.clean_title(F.col("t")), text.is_garbage(F.col("g"))).collect()
     assert [tuple(r) for r in got] == [("Hi", True), ("Plain", False)]
+
+
+def test_semantic_takes_any_number_of_queries(spark):
+    angle = F.col("id") * 0.001
+    at = F.array(F.cos(angle).cast("float"), F.sin(angle).cast("float")).alias("embedding")
+    queries = spark.range(10_001).select(F.col("id").alias("query_id"), at)
+    vectors_ = spark.range(0, 6000, 1000).select(F.col("id").alias("article_id"), at)
+    got = search.semantic(vectors_, queries, limit=2)
+    few = search.semantic(vectors_, queries.where("query_id % 500 = 0"), limit=2)
+    assert got.select("query_id").distinct().count() > 9000
+    same = sorted(map(tuple, got.where("query_id % 500 = 0").collect()))
+    assert same == sorted(map(tuple, few.collect()))

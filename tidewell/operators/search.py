@@ -42,15 +42,25 @@ def rank_score(hits: DataFrame, limit: int) -> DataFrame:
     return top.select("query_id", "article_id", (1.0 - (F.col("i") - 1) / n).alias("fts"))
 
 
+#: Query vectors up to this count are broadcast; beyond, blocks of about so many meet as many vectors.
+QUERY_BLOCK = 10_000
+
+
 def semantic(vectors: DataFrame, queries: DataFrame, least: float = 0.3, limit: int = 20) -> DataFrame:
     """(query_id, article_id, cos): nearest vectors of each query vector over a floor.
 
-    The query set is counted and must be small: it is broadcast against all vectors.
+    A small query set, by count, is broadcast against all vectors; a larger one and the
+    vectors are dealt into blocks, and every block of queries meets every block of vectors.
     """
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError(f"{n} query vectors; send them in blocks of 10,000")
-    pairs = vectors.join(F.broadcast(queries.withColumnRenamed("embedding", "q")))
+    n, wanted = queries.count(), queries.withColumnRenamed("embedding", "q")
+    if n <= QUERY_BLOCK:
+        pairs = vectors.join(F.broadcast(wanted))
+    else:
+        blocks, parts = math.ceil(n / QUERY_BLOCK), max(1, math.ceil(vectors.count() / QUERY_BLOCK))
+        block, part = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), F.pmod(F.xxhash64("article_id"), F.lit(parts))
+        dealt = wanted.select("*", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        others = vectors.select("*", part.cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        pairs = others.join(dealt, ["block", "part"])
     near = pairs.select("query_id", "article_id", cosine(F.col("embedding"), F.col("q")).alias("cos")).where(F.col("cos") > least)
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("cos", 9)), "article_id")
     return near.withColumn("i", F.row_number().over(best)).where(F.col("i") <= limit).drop("i")
