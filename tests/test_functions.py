@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text, vectors
 from tidewell.operators import render, search, state, stats
+from tidewell.streaming import ingest
 
 
 @pytest.mark.parametrize(
@@ -76,3 +77,16 @@ def test_semantic_takes_any_number_of_queries(spark):
     assert got.select("query_id").distinct().count() > 9000
     same = sorted(map(tuple, got.where("query_id % 500 = 0").collect()))
     assert same == sorted(map(tuple, few.collect()))
+
+
+def test_stream_counts_events_of_many_shuffled_files(spark, tmp_path):
+    """Files in no order of time, more than a batch takes; some events come again in later files."""
+    from datetime import datetime, timedelta
+
+    day = datetime(2024, 1, 1)
+    for f in range(12):
+        ids = [*range(f, 1200, 12), *range(0, 50)]
+        rows = [(i, day + timedelta(minutes=(i * 7919) % 20_000)) for i in ids]
+        spark.createDataFrame(rows, "event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    got = ingest.run_once(ingest.deduplicated(ingest.event_stream(spark, f"{tmp_path}/events")), "shuffled")
+    assert sorted(r.event_id for r in got.collect()) == list(range(1200))
