@@ -90,3 +90,12 @@ def test_stream_counts_events_of_many_shuffled_files(spark, tmp_path):
         spark.createDataFrame(rows, "event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
     got = ingest.run_once(ingest.deduplicated(ingest.event_stream(spark, f"{tmp_path}/events")), "shuffled")
     assert sorted(r.event_id for r in got.collect()) == list(range(1200))
+
+
+def test_briefing_ranks_before_it_collects(spark):
+    rows = spark.range(100).selectExpr("id % 2 AS user_id", "id AS article_id", "CAST(id % 10 AS DOUBLE) AS decayed", "'T ' || id AS title", "8.0D AS interest")
+    got = render.briefing(rows, top=3)
+    assert {r.user_id: (r.n_articles, r.briefing) for r in got.collect()} == {
+        0: (3, "## T 98 (8.0/10)\n\n## T 88 (8.0/10)\n\n## T 78 (8.0/10)"), 1: (3, "## T 99 (8.0/10)\n\n## T 89 (8.0/10)\n\n## T 79 (8.0/10)"),
+    }
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()

@@ -5,17 +5,18 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import udtf
 
 
 def briefing(rows: DataFrame, top: int = 20) -> DataFrame:
     """(user_id, n_articles, briefing): the best articles as markdown headings."""
-    lines = F.array_sort(F.collect_list(F.struct((-F.col("decayed")).alias("order"), (-F.col("article_id")).alias("id"), "line")))
+    best = Window.partitionBy("user_id").orderBy(F.desc("decayed"), F.desc("article_id"))
+    lines = F.array_sort(F.collect_list(F.struct("i", "line")))
     line = F.format_string("## %s (%.1f/10)", F.regexp_replace("title", r"\s+", " "), F.col("interest"))
-    grouped = rows.withColumn("line", line).groupBy("user_id").agg(lines.alias("l"))
-    cut = F.slice("l", 1, top)
-    return grouped.select("user_id", F.size(cut).cast("long").alias("n_articles"), F.array_join(F.transform(cut, lambda x: x["line"]), "\n\n").alias("briefing"))
+    cut = rows.withColumn("i", F.row_number().over(best)).where(F.col("i") <= top)
+    grouped = cut.withColumn("line", line).groupBy("user_id").agg(lines.alias("l"))
+    return grouped.select("user_id", F.size("l").cast("long").alias("n_articles"), F.array_join(F.transform("l", lambda x: x["line"]), "\n\n").alias("briefing"))
 
 
 def _xml(c: str):
