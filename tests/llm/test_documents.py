@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -237,12 +238,49 @@ def test_substring_dedup_of_periodic_texts(spark):
 def test_word_hashes_follow_the_words():
     long = "y" * (substring.BLOCK + 3)
     words = ["a", "b", "ab", "ba", long, "é", "z" * (substring.BLOCK - 1), "a", long, *["ab", "c"] * substring.BLOCK]
-    h = substring.word_hashes("\t" + " \n".join(words) + " ")
+    h, sizes = substring.word_hashes(("\t" + " \n".join(words) + " ").encode())
     assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
-    own = {w: substring.word_hashes(w)[0] for w in set(words)}
+    assert sizes.tolist() == [len(w.encode()) for w in words]
+    own = {w: substring.word_hashes(w.encode())[0][0] for w in set(words)}
     assert [own[w] for w in words] == h.tolist()
 
 
+def test_words_of_equal_hashes_are_told_apart(spark):
+    """Two words that a polynomial modulo 2**64 cannot tell apart: nothing repeats, nothing goes."""
+    parity = "".join("a" if k.bit_count() % 2 == 0 else "b" for k in range(2048))
+    pair = [parity, parity.translate(str.maketrans("ab", "ba"))]
+    assert len({substring.word_hashes(w.encode())[0][0] for w in pair}) == 1
+    rest = words(77, 24).split()
+    rows = [(k, " ".join(rest[:12] + [w] + rest[12:])) for k, w in enumerate(pair)]
+    docs = spark.createDataFrame([*rows, (2, rows[0][1])], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring.deduplicated(docs).select("row.doc_id", "n_removed").collect()}
+    assert got == {0: 0, 1: 0, 2: 25}
+
+
+def test_the_automaton_decides(spark, monkeypatch):
+    """What the automaton does not match is not removed."""
+    phrases = [b"a b c d e f g h", b"b c d e f g h i"]
+    found = substring.Phrases(phrases)
+    assert found.starts(b"x a b c d e f g h i b c d e f g h".split()) == [1, 2]
+    assert found.starts(b"a b c d e f g unknown".split()) == []
+    run = substring._locate(20)
+    text = words(5, 25)
+    docs = pa.table({"row_key": pa.array([b"k", b"l"]), "text": [text, text]})
+    bases = [(b"k", 0), (b"l", 100)]
+    for phrases, runs in (([], 0), ([b"p q r s t u v w"], 0), ([" ".join(text.split()[k : k + 8]).encode() for k in range(18)], 2)):
+        known = pa.table({"key": pa.array([k for k, _ in bases] + phrases, pa.binary()), "base": pa.array([b for _, b in bases] + [None] * len(phrases), pa.int64())})
+        got = run(docs, known)
+        assert len(set(got.column("row_key").to_pylist())) == runs
+        assert got.num_rows == 0 or sum(got.column("n").to_pylist()) == 12
+
+
+def test_substring_dedup_of_a_row_repeated_very_often(spark):
+    rows = [(1, words(5, 30))] * 3000 + [(2, words(5, 30)), (3, words(6, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.deduplicated(docs).groupBy("row.doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 3000), (2, 30, 1), (3, 0, 1)]
+
+
 # --- language model ----------------------------------------------------------
 
 

@@ -4,26 +4,28 @@ A *window* is ``window`` consecutive plain words.  Every window owns an anchor,
 the ``ANCHOR``-word phrase in it with the least hash (leftmost on ties), so two
 windows of equal words own equal anchors.
 
-1. Anchors are counted over the whole corpus; those found twice are the recurring
-   phrases, and each shard of documents learns which of them it holds.
-2. Documents are put in order (id, then the text's hash), and running sums of their
+1. Anchors are counted by their words over the whole corpus; those found twice are
+   the recurring phrases, and each shard of documents gets the words of those it holds.
+2. Documents are put in order (id, then the row's digest), and running sums of their
    bytes give each a base: base plus word position is a *place*, one long.
 3. Per shard, an Aho-Corasick automaton over words is compiled from its recurring
-   phrases and all its documents that hold some are streamed through it.  Windows
-   whose anchor was located are candidates; neighbours that share an anchor travel as
-   one run (hash of its words, place, hashes of its windows).
+   phrases and all its documents are streamed through it.  Windows whose anchor was
+   matched are candidates; neighbours that share an anchor travel as one run (digest
+   of its words, place, digests of its windows).
 4. Runs are aggregated to their first place, then the windows of distinct runs to
    theirs.  Later places of a run go whole; at its first place those windows go that
    another run holds earlier.
 
 A shard is some ``SHARD_BYTES`` of text (or one longer document), and so bounds its
-automaton; hot phrases are sums and minima, never collected groups.
+automaton; hot phrases are sums and minima, never collected groups.  The 64-bit word
+hashes only choose anchors: phrases are compared by their words, runs and windows by
+128-bit BLAKE2b digests of theirs, rows by the MD5 of id and text.
 
 Defined cases: null and empty texts hold no words; documents below ``window`` words
 lose nothing; a null id sorts before all others; rows that repeat id and text are
-one document, so none loses words to the other; rows with one id and different
-texts are ordered by the text's hash; an empty table gives an empty result; other
-columns pass through.
+one document, so none loses words to the other, and are merged before they meet in a
+shard; rows with one id and different texts are ordered by the row's digest; an empty
+table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -39,10 +42,12 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.llm.text import encode, plain_words
-from tidewell.plans.scratch import materialize
+from tidewell.llm.text import plain_words
+from tidewell.plans.scratch import broadcast_if_small, discard, materialize
 
 ANCHOR, SHARD_BYTES, BLOCK = 8, 4 << 20, 1 << 16
+#: Phrases of an Arrow batch.
+BATCH = 100_000
 #: A place is a document's base plus a word's position: bases within a range
 #: partition add up text bytes, and the partition's number stands above these bits.
 PART_BITS = 40
@@ -53,13 +58,13 @@ _POWERS, _INVERSES = (np.multiply.accumulate(np.full(BLOCK, b, np.uint64)) for b
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hash of every plain word: a polynomial of its bytes, mixed with its length.
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every plain word, a polynomial of its bytes mixed with its length, and its bytes.
 
     Words are taken some ``BLOCK`` bytes at a time, as differences of running sums;
     a longer word is hashed alone.
     """
-    raw = np.frombuffer(encode(text), np.uint8)
+    raw = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
     sizes = ends - starts
@@ -79,7 +84,7 @@ def word_hashes(text: str | None) -> np.ndarray:
         h *= _MIX
         out[k:end] = h ^ (h >> np.uint64(29))
         k = end
-    return out
+    return out, sizes
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -110,25 +115,36 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_key(id_col: str, text: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text))
+    """Digest of a row's id and text; null texts are empty."""
+    row_id = F.coalesce(F.col(id_col).cast("string"), F.lit("\x01"))
+    return F.unhex(F.md5(F.concat(row_id, F.lit("\x00"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """Where each word starts in the words joined by one space, and one place beyond the end."""
+    return np.r_[0, np.cumsum(sizes + 1)]
 
 
 def _emit_anchors(window: int):
+    """(shard, text) to (shard, phrase): the anchor phrases of each text by their words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, phrases = [], []
         for batch in batches:
-            shards, keys, counts = [], [], []
-            for shard, text in zip(batch.column(0), batch.column(1), strict=True):
-                h = word_hashes(text.as_py())
+            for shard, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+                data = text.as_py() or b""
+                h, sizes = word_hashes(data)
                 if len(h) < window:
                     continue
-                phrases, at = anchors(h, window)
-                found, n = np.unique(phrases[np.flatnonzero(np.bincount(at))], return_counts=True)
-                shards.append(np.full(len(found), shard.as_py(), np.int32))
-                keys.append(found.view(np.int64))
-                counts.append(n)
-            if keys:
-                columns = [np.concatenate(x) for x in (shards, keys, counts)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "anchor", "n"])
+                own = np.flatnonzero(np.bincount(anchors(h, window)[1]))
+                joined, at = b" ".join(data.split()), _ends(sizes)
+                phrases += [joined[a:b] for a, b in zip(at[own].tolist(), (at[own + ANCHOR] - 1).tolist(), strict=True)]
+                shards.append(np.full(len(own), shard.as_py(), np.int32))
+                if len(phrases) > BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(phrases, pa.binary())], ["shard", "phrase"])
+                    shards, phrases = [], []
+        if phrases:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(phrases, pa.binary())], ["shard", "phrase"])
 
     return run
 
@@ -149,67 +165,65 @@ def _symbols(ids: np.ndarray) -> str:
     return pairs.tobytes().decode("utf-32-le")
 
 
+class Phrases:
+    """An automaton over words, compiled from phrases of ``ANCHOR`` words each."""
+
+    def __init__(self, phrases: list[bytes]) -> None:
+        words = b" ".join(phrases).split()
+        self.ids = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
+        symbols = _symbols(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for k in range(0, len(symbols), 2 * ANCHOR):
+            self.automaton.add_word(symbols[k : k + 2 * ANCHOR])
+        self.automaton.make_automaton()
+
+    def starts(self, words: list[bytes]) -> list[int]:
+        """Every place where a phrase begins; other words than those of phrases are all alike."""
+        ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
+        return [end // 2 - ANCHOR + 1 for end, _ in self.automaton.iter(_symbols(ids))]
+
+
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
 def _locate(window: int):
-    """Cogrouped (documents, recurring anchors and bases) of one shard to runs of candidate windows."""
-    kinds = pa.schema([("run", pa.int64()), ("row_key", pa.int64()), ("place", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("windows", pa.list_(pa.int64()))])
+    """Cogrouped (documents, recurring phrases and bases) of one shard to runs of candidate windows."""
+    kinds = pa.schema([("run", pa.binary()), ("row_key", pa.binary()), ("place", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("windows", pa.list_(pa.binary()))])
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         based = known.column("base").is_valid()
-        bases = dict(zip(*(known.filter(based).column(c).to_pylist() for c in ("anchor", "base")), strict=True))
-        recurring = np.unique(known.filter(pc.invert(based)).column("anchor").to_numpy().view(np.uint64))
-        texts = {}
-        for k, key in enumerate(docs.column("row_key").to_pylist()):
-            texts.setdefault(key, k)
-        loaded = []
-        for key in sorted(texts, key=bases.__getitem__) if len(recurring) else []:
-            h = word_hashes(docs.column("text")[texts[key]].as_py())
-            if len(h) < window:
-                continue
-            hashes, at = anchors(h, window)
-            own = np.flatnonzero(np.bincount(at))
-            near = np.searchsorted(recurring, hashes[own]).clip(max=len(recurring) - 1)
-            own = own[recurring[near] == hashes[own]]
-            if len(own):
-                loaded.append((key, h, at, own, hashes[own]))
-        if not loaded:
+        bases = dict(zip(*(known.filter(based).column(c).to_pylist() for c in ("key", "base")), strict=True))
+        phrases = known.filter(pc.invert(based)).column("key").to_pylist()
+        out, windows, seen = {c: [] for c in kinds.names[:-1]}, [], set()
+        if not phrases:
             return kinds.empty_table()
-        vocabulary = np.unique(np.concatenate([np.unique(x[1]) for x in loaded]))
-        automaton, added, streams = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), set(), []
-        for _, h, _, own, hashes in loaded:
-            symbols = _symbols(np.searchsorted(vocabulary, h))
-            for p, phrase in zip((2 * own).tolist(), hashes.tolist(), strict=True):
-                if phrase not in added:
-                    added.add(phrase)
-                    automaton.add_word(symbols[p : p + 2 * ANCHOR])
-            streams.append(symbols)
-        automaton.make_automaton()
-        out, seen = {c: [] for c in kinds.names[:-1]}, set()
-        values, ends, fresh = [], [0], []
-        for (key, h, at, _, _), symbols in zip(loaded, streams, strict=True):
-            located = np.zeros(len(h), bool)
-            located[[end // 2 - ANCHOR + 1 for end, _ in automaton.iter(symbols)]] = True
+        found, texts = Phrases(phrases), docs.column("text").cast(pa.binary())
+        for base, key, k in sorted((bases[key], key, k) for k, key in enumerate(docs.column("row_key").to_pylist())):
+            data = texts[k].as_py() or b""
+            words = data.split()
+            starts = found.starts(words) if len(words) >= window else []
+            if not starts:
+                continue
+            h, sizes = word_hashes(data)
+            located, at = np.zeros(len(h), bool), anchors(h, window)[1]
+            located[starts] = True
             cand = np.flatnonzero(located[at])
             if not len(cand):
                 continue
-            wins = rolling(h, window)
+            joined, ends = b" ".join(words), _ends(sizes).tolist()
             first = np.flatnonzero(np.r_[True, np.diff(at[cand]) != 0])
             last = np.r_[first[1:], len(cand)] - 1
-            a, b = cand[first], cand[last]
-            runs = (wins[a] * _MULT + wins[b]) * _MULT + (b - a).astype(np.uint64)
-            runs = (runs ^ (runs >> np.uint64(31))).view(np.int64)
-            for c, x in zip(out, (runs, np.full(len(runs), key), bases[key] + a, a, b - a + 1), strict=True):
-                out[c].append(x)
-            for r, i, j in zip(runs.tolist(), a.tolist(), b.tolist(), strict=True):
-                fresh.append(r not in seen)
-                if fresh[-1]:
-                    seen.add(r)
-                    values.append(wins[i : j + 1])
-                ends.append(ends[-1] + (j - i + 1) * fresh[-1])
-        columns = [pa.array(np.concatenate(out[c]) if out[c] else [], kinds.field(c).type) for c in out]
-        flat = pa.array(np.concatenate(values).view(np.int64) if values else [], pa.int64())
-        windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-        windows = pc.if_else(pa.array(fresh, pa.bool_()), windows, pa.scalar(None, windows.type))
-        return pa.Table.from_arrays([*columns, windows], schema=kinds)
+            for i, j in zip(cand[first].tolist(), cand[last].tolist(), strict=True):
+                digest = _digest(joined[ends[i] : ends[j + window] - 1])
+                fresh = None
+                if digest not in seen:
+                    seen.add(digest)
+                    fresh = [_digest(joined[ends[x] : ends[x + window] - 1]) for x in range(i, j + 1)]
+                windows.append(fresh)
+                for c, x in zip(out, (digest, key, base + i, i, j - i + 1), strict=True):
+                    out[c].append(x)
+        return pa.table([pa.array(x, kinds.field(c).type) for c, x in (out | {"windows": windows}).items()], schema=kinds)
 
     return run
 
@@ -221,20 +235,28 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text).alias("row_key"), F.col(text).alias("text"))
     sizes = narrow.select("doc_id", "row_key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
-    sizes = materialize(sizes.groupBy("doc_id", "row_key").agg(F.max("n").alias("n")), "sizes")
-    shards = (sizes.agg(F.sum("n")).first()[0] or 0) // SHARD_BYTES + 1
-    shard = F.pmod("row_key", F.lit(shards)).cast("int").alias("shard")
+    sizes = materialize(sizes.groupBy("doc_id", "row_key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("times")), "sizes")
+    total, most = sizes.agg(F.sum("n"), F.max("times")).first()
+    shards = (total or 0) // SHARD_BYTES + 1
+    shard = F.pmod(F.xxhash64("row_key"), F.lit(shards)).cast("int").alias("shard")
     ordered = sizes.repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
-    bases = ordered.select("row_key", F.spark_partition_id().alias("part"), "n").mapInArrow(_bases, "row_key long, base long")
-    bases = materialize(bases, "bases").select(shard, F.col("row_key").alias("anchor"), "base")
+    bases = ordered.select("row_key", F.spark_partition_id().alias("part"), "n").mapInArrow(_bases, "row_key binary, base long")
+    bases = materialize(bases, "bases")
+    narrow = narrow.select("row_key", "text")
+    if (most or 0) > 1:  # merge the repeats
+        repeats = broadcast_if_small(sizes.where("times > 1").select("row_key"))
+        once = narrow.join(repeats, "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
+        narrow = narrow.join(repeats, "row_key", "left_anti").union(once)
     sharded = narrow.select(shard, "row_key", "text")
-    counted = sharded.select("shard", "text").mapInArrow(_emit_anchors(window), "shard int, anchor long, n long")
-    counted = materialize(counted.groupBy("shard", "anchor").agg(F.sum("n").alias("n")), "anchors")
-    recurring = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    recurring = counted.join(recurring.hint("shuffle_hash"), "anchor", "left_semi").select("shard", "anchor", F.lit(None).cast("long").alias("base"))
-    known = materialize(recurring.union(bases), "recurring")
-    schema = "run long, row_key long, place long, start int, n int, windows array<long>"
+    emitted = sharded.select("shard", "text").mapInArrow(_emit_anchors(window), "shard int, phrase binary")
+    counted = materialize(emitted.groupBy("shard", "phrase").agg(F.count(F.lit(1)).alias("n")), "anchors")
+    recurring = counted.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
+    recurring = counted.join(recurring.hint("shuffle_hash"), "phrase", "left_semi").select("shard", F.col("phrase").alias("key"), F.lit(None).cast("long").alias("base"))
+    known = materialize(recurring.union(bases.select(shard, F.col("row_key").alias("key"), "base")), "recurring")
+    discard(counted, bases)
+    schema = "run binary, row_key binary, place long, start int, n int, windows array<binary>"
     runs = materialize(sharded.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_locate(window), schema), "runs")
+    discard(known, sizes)
     # Within its shard the first place of a run carries the windows, so the first of all does.
     firsts = materialize(runs.groupBy("run").agg(F.min("place").alias("p"), F.count(F.lit(1)).alias("times")), "firsts")
     carried = runs.where("windows IS NOT NULL").select("run", "place", "windows").join(firsts.select("p").hint("shuffle_hash"), F.col("place") == F.col("p"))
@@ -244,10 +266,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
     late = wins.join(earliest.hint("shuffle_hash"), "win").where("f < at").groupBy("run").agg(F.collect_list("i").alias("late"))
     marks = firsts.join(late, "run", "left").where("times > 1 OR late IS NOT NULL").select("run", "p", "late")
     marks = materialize(marks, "marks")
+    discard(wins, firsts)
     here = F.transform("late", lambda i: F.struct((F.col("start") + i).alias("a"), F.lit(1).alias("n")))
     spans = F.when(F.col("place") == F.col("p"), here).otherwise(F.array(F.struct(F.col("start").alias("a"), F.col("n"))))
     lost = runs.drop("windows").join(marks, "run").select("row_key", spans.alias("spans")).where("spans IS NOT NULL")
-    return materialize(lost.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "removals")
+    lost = materialize(lost.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "removals")
+    discard(runs, marks)
+    return lost
 
 
 def removed_mask(n: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
