@@ -2,7 +2,8 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it
 back, so that a lost executor costs a re-read and never a recomputation of the
-whole job.  Shuffle files of the writing query are dropped as it ends.
+whole job.  Shuffle files of the writing query are dropped as it ends, and a table
+that no later step reads is dropped with ``discard``.
 """
 
 from __future__ import annotations
@@ -13,22 +14,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_DIR = "spark.checkpoint.dir"
+#: Encoded bytes up to which a table may be broadcast; it is some times larger in memory.
+BROADCAST_BYTES = 16 << 20
+#: Folders made for local sessions, by application.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session.
+    """The shared folder of this session, as ``spark.checkpoint.dir`` names it.
 
-    ``spark.checkpoint.dir`` wins; a checkpoint dir set on the context is next.
-    Only where neither is set (tests, a laptop) a local folder is made.
+    Where it is unset a local session makes a folder of its own (tests, a laptop); on a
+    cluster that is an error, as executors and driver would see different folders.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
+    found = spark.conf.get(_DIR, None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_DIR} to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        found = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="tidewell-")
+    return found.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -41,14 +46,46 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast when its counted rows prove that it is small.
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path:
+            delete(table.sparkSession, path)
 
-    Beyond ``max_rows`` it is returned as it is, and the join shuffles (with
-    AQE splitting skewed partitions).  ``df`` should be cheap to count.
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store through Spark's file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Encoded bytes of all rows: string and binary columns by length, others eight bytes each."""
+    sizes = [F.lit(8)]
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)))
+        elif kind in ("array", "map", "struct"):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    total = sizes[0]
+    for s in sizes[1:]:
+        total = total + s
+    return df.agg(F.sum(total.cast("long"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when its measured bytes prove that it is small.
+
+    Beyond ``max_bytes`` it is returned as it is, and the join shuffles (with
+    AQE splitting skewed partitions).  ``df`` should be cheap to compute.
     """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if row_bytes(df) <= max_bytes else df
