@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import defaultdict
 
 import corpus_pipeline
@@ -82,6 +83,19 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    """100,000 turns of one conversation, in blocks of one turn and in one block of all."""
+    for alternating in (True, False):
+        role = "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END" if alternating else "'assistant'"
+        turns = spark.range(100_000).selectExpr("1 AS conv_id", "id AS turn", f"{role} AS role", "concat('é[', id) AS text")
+        began = time.perf_counter()
+        got = chat.read_chats(chat.format_chats(turns)).first()
+        assert time.perf_counter() - began < 15
+        own = [f"é[{k}" for k in range(100_000)]
+        assert [t.text for t in got.turns] == own
+        assert got.loss_text == "".join(own[1::2] if alternating else own)
+
+
 def test_pipeline_stages(spark, tmp_path):
     passage, item = words(50, 60), words(51, 30)
     clean = [(k, words(100 + k, 120), "a") for k in range(12)]
