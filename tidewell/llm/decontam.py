@@ -10,7 +10,7 @@ bound); it is verified by the presence of shingles that cover every word.
 
 Defined cases: null texts have no words; items without words have no windows;
 repeated items and items that share windows count each; repeated documents are
-judged alike (documents are told apart by id and text); empty tables give no hits;
+judged alike (documents are told apart by the MD5 of id and text); empty tables give no hits;
 other columns are left alone.
 """
 
@@ -18,16 +18,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.llm.text import letter_words_col
-from tidewell.plans.scratch import broadcast_if_small, materialize
+from tidewell.llm.text import letter_words_col, row_key
+from tidewell.plans.scratch import broadcast_if_small, discard, materialize
 
 SHINGLE = 3
-#: Benchmark tables up to this many rows (about 100 bytes each) are broadcast.
-BROADCAST_ROWS = 300_000
-
-
-def _row_key(id_col: str, text: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text), F.length(F.col(text)))
 
 
 def windows_of(items: DataFrame, id_col: str, text: str, window: int) -> DataFrame:
@@ -66,11 +60,11 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_
     for p in parts[1:]:
         tokens = tokens.union(p)
     tokens = materialize(tokens, "tokens")
-    vocabulary = broadcast_if_small(tokens.select("shingle").distinct(), BROADCAST_ROWS)
-    worded = docs.select(_row_key(id_col, text).alias("key"), letter_words_col(F.col(text)).alias("w"))
+    vocabulary = broadcast_if_small(tokens.select("shingle").distinct())
+    worded = docs.select(row_key(id_col, text).alias("key"), letter_words_col(F.col(text)).alias("w"))
     seen = None
     for k in sizes:
-        one = worded.select("key", F.posexplode(_doc_shingles(F.col("w"), k)).alias("pos", "shingle"))
+        one = worded.select("key", F.size("w").alias("n_words"), F.posexplode(_doc_shingles(F.col("w"), k)).alias("pos", "shingle"))
         one = one.join(vocabulary, "shingle", "left_semi")
         seen = one if seen is None else seen.union(one)
     hits = materialize(seen, "hits")
@@ -80,27 +74,29 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("off"), F.col("shingle"))).alias("p")
     )
     prefixes = materialize(rarest.where("p.df > 0").select("win", "len", F.col("p.off").alias("off"), F.col("p.shingle").alias("shingle")), "prefix")
-    prefixes = broadcast_if_small(prefixes, BROADCAST_ROWS)
-    candidates = hits.join(prefixes, "shingle").where("pos >= off").select("key", (F.col("pos") - F.col("off")).alias("start"), "len", "win").distinct()
+    prefixes = broadcast_if_small(prefixes)
+    candidates = hits.join(prefixes, "shingle").where("pos >= off AND pos - off + len <= n_words").select("key", (F.col("pos") - F.col("off")).alias("start"), "len", "win").distinct()
     k = F.least("len", F.lit(SHINGLE))
     # every third shingle and the last one cover all words of a window
     cover = tokens.where(((F.col("off") % SHINGLE) == 0) | (F.col("off") == F.col("len") - k))
     need = cover.groupBy("win").agg(F.count(F.lit(1)).alias("need"))
-    cover = broadcast_if_small(cover.join(need, "win").select("win", "off", "shingle", "need"), BROADCAST_ROWS)
+    cover = broadcast_if_small(cover.join(need, "win").select("win", "off", "shingle", "need"))
     wanted = candidates.join(cover, "win").select("key", "start", "len", "win", "need", (F.col("start") + F.col("off")).alias("pos"), "shingle")
-    found = wanted.join(hits.distinct(), ["key", "pos", "shingle"], "left_semi")
+    found = wanted.join(hits.select("key", "pos", "shingle").distinct(), ["key", "pos", "shingle"], "left_semi")
     verified = found.groupBy("key", "start", "len", "win").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    return materialize(verified.where("n = need").select("key", "start", "len", "win"), "verified"), wins
+    verified = materialize(verified.where("n = need").select("key", "start", "len", "win"), "verified")
+    discard(hits)
+    return verified, wins
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13) -> DataFrame:
     """(key, n_hit, item_ids) of documents with hits."""
     found, wins = window_hits(docs, items, id_col, text, item_id, item_text, window)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "key long, n_hit long, item_ids array<string>")
+        return docs.sparkSession.createDataFrame([], "key binary, n_hit long, item_ids array<string>")
     covered = found.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")).distinct()
     counts = covered.groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
-    owners = broadcast_if_small(wins.select("win", F.col("item_id").cast("string").alias("item")), BROADCAST_ROWS)
+    owners = broadcast_if_small(wins.select("win", F.col("item_id").cast("string").alias("item")))
     ids = found.select("key", "win").distinct().join(owners, "win").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
     return counts.join(ids, "key", "left")
 
@@ -109,7 +105,7 @@ def judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
     """All rows of ``docs`` as struct ``row``, with n_words, n_hit, item_ids and contaminated."""
     hits = contamination(docs, items, id_col, text, **named)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    words = docs.select(own, _row_key(id_col, text).alias("key"), F.size(letter_words_col(F.col(text))).cast("long").alias("n_words"))
+    words = docs.select(own, row_key(id_col, text).alias("key"), F.size(letter_words_col(F.col(text))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0))
     return words.join(hits, "key", "left").select(
         "row",

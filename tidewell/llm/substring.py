@@ -40,9 +40,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.text import plain_words
+from tidewell.llm.text import plain_words, row_key
 from tidewell.plans.scratch import broadcast_if_small, discard, materialize
 
 ANCHOR, SHARD_BYTES, BLOCK = 8, 4 << 20, 1 << 16
@@ -114,12 +114,6 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return phrases, at
 
 
-def row_key(id_col: str, text: str) -> Column:
-    """Digest of a row's id and text; null texts are empty."""
-    row_id = F.coalesce(F.col(id_col).cast("string"), F.lit("\x01"))
-    return F.unhex(F.md5(F.concat(row_id, F.lit("\x00"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
-
-
 def _ends(sizes: np.ndarray) -> np.ndarray:
     """Where each word starts in the words joined by one space, and one place beyond the end."""
     return np.r_[0, np.cumsum(sizes + 1)]

@@ -37,3 +37,9 @@ def letter_words_col(text: Column) -> Column:
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     words = F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     return F.filter(words, lambda w: w != "")
+
+
+def row_key(id_col: str, text: str) -> Column:
+    """MD5 of a row's id and text, which tells rows apart; null texts are empty."""
+    row_id = F.coalesce(F.col(id_col).cast("string"), F.lit("\x01"))
+    return F.unhex(F.md5(F.concat(row_id, F.lit("\x00"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
