@@ -135,12 +135,9 @@ def test_near_duplicates_keep_one(spark, empty):
             rows.append((10 * k + j, " ".join(copy), "a"))
     rows += [(500, rows[0][1], "a"), (0, rows[0][1], "a"), (501, None, "a"), (502, "", "a")]
     docs = spark.createDataFrame(rows_of(*rows), DOCS)
-    for cap in (64, 2):
-        near.BUCKET_CAP = cap
-        kept = near.keep_one_of_each(docs)
-        assert kept.columns == docs.columns
-        assert sorted(r.doc_id for r in kept.collect()) == sorted([*clean, 501])
-    near.BUCKET_CAP = 64
+    kept = near.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*clean, 501])
     assert near.keep_one_of_each(empty).count() == 0
 
 
@@ -167,8 +164,10 @@ def test_near_duplicates_count_shingles_once(spark):
     assert sorted(r.doc_id for r in near.keep_one_of_each(docs).collect()) == [1]
 
 
-def test_crowded_family_against_brute_force(spark):
+@pytest.mark.parametrize("crowd", [8, 0])
+def test_crowded_family_against_brute_force(spark, monkeypatch, crowd):
     """Pages of one template: far ones all stay, each near copy finds its page in the crowd."""
+    monkeypatch.setattr(near, "CROWD", crowd)
     template = [f"t{i}" for i in range(300)]
     rows = []
     for k in range(150):

@@ -3,13 +3,16 @@
 Every round attaches neighbours to smaller labels (large star, then small star)
 and ends as a table in the shared folder; rounds grow with the logarithm of a
 component's size.  No node's neighbours are ever collected.
+
+Defined cases: repeated edges and loops count once or not at all; a null end is no
+edge; without edges no node is labelled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.plans.scratch import materialize
+from tidewell.plans.scratch import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -31,11 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialize(edges.where("u != v").select("u", "v").distinct(), "edges")
     mark = None
     while True:
-        e = materialize(_small_star(_large_star(e)), "stars")
+        last, e = e, materialize(_small_star(_large_star(e)), "stars")
+        discard(last)
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             break
         mark = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
-        e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    )
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+    labels = materialize(e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots), "labels")
+    discard(e)
+    return labels

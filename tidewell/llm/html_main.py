@@ -194,8 +194,6 @@ def text_of(source: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([Page(x or "").text(p) for x, p in zip(source, path, strict=True)], dtype=object)
 
 
-#: Hosts up to this count are broadcast with their winning paths.
-BROADCAST_HOSTS = 200_000
 
 
 def host_paths(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
@@ -209,7 +207,7 @@ def host_paths(pages: DataFrame, url: str = "url", source: str = "html") -> Data
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
     winners = materialize(host_paths(pages, url, source), "hostpaths")
-    winners = broadcast_if_small(winners.withColumnRenamed("host", "won"), BROADCAST_HOSTS)
+    winners = broadcast_if_small(winners.withColumnRenamed("host", "won"))
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"), host.alias("host"))
     return rows.join(winners, F.col("host") == F.col("won"), "left").select("page_id", "url", text_of("html", "path").alias("text"))

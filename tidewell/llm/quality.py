@@ -27,8 +27,6 @@ _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in _SYMBOLS)
 #: All bytes but UTF-8 continuation bytes: without them a code point count is a length.
 _LEADING = bytes(b for b in range(256) if not 0x80 <= b < 0xC0)
-#: Hosts up to this count are broadcast (some 100 bytes each); above, the join shuffles.
-BROADCAST_HOSTS = 200_000
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -118,7 +116,7 @@ def judge(signals: DataFrame, host: str, quality: str, max_rate: float = 0.5) ->
     q = F.col(quality)
     failed = F.coalesce(base_failed(q) | soft_failed(q), F.lit(True))
     verdicts = host_verdicts(signals.select(F.col(host).alias("host"), failed.alias("failed")), max_rate=max_rate)
-    verdicts = broadcast_if_small(verdicts.select(F.col("host").alias("__host"), "host_rate", "host_bad"), BROADCAST_HOSTS)
+    verdicts = broadcast_if_small(verdicts.select(F.col("host").alias("__host"), "host_rate", "host_bad"))
     bad = F.coalesce(F.col("host_bad"), F.lit(False))
     return (
         signals.join(verdicts, F.col(host) == F.col("__host"), "left")
@@ -146,7 +144,7 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
     q = F.col("q")
     failed = base_failed(q) | soft_failed(q)
     verdicts = host_verdicts(docs.select(F.col(host).alias("host"), mark).select("host", failed.alias("failed")))
-    verdicts = broadcast_if_small(verdicts.select(F.col("host").alias("__host"), "host_bad"), BROADCAST_HOSTS)
+    verdicts = broadcast_if_small(verdicts.select(F.col("host").alias("__host"), "host_bad"))
     bad = F.coalesce(F.col("host_bad"), F.lit(False))
     kept = rows.where(~base_failed(q)).join(verdicts, F.col("host") == F.col("__host"), "left").where(~(bad & soft_failed(q)))
     return kept.select(*[F.col("row")[c].alias(c) for c in cols])

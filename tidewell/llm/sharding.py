@@ -21,8 +21,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewell.plans.scratch import broadcast_if_small, materialize
 
 BITS, KEY_BITS, STAGE_BITS = 63, 32, 8
-#: Directory stages up to this many cells (under 50 bytes each) are broadcast.
-BROADCAST_CELLS = 500_000
 
 
 def key_bits(key: Column) -> Column:
@@ -70,13 +68,13 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit: int) -> Data
         if high == BITS:
             stage = stage.withColumn("depth", F.coalesce("depth", F.lit(BITS)))
         name = f"d{high}"
-        table = broadcast_if_small(stage.select(F.col("cell").alias(f"c{high}"), F.col("depth").alias(name)), BROADCAST_CELLS)
+        table = broadcast_if_small(stage.select(F.col("cell").alias(f"c{high}"), F.col("depth").alias(name)))
         placed = placed.join(table, _prefix(F.col("address"), high) == F.col(f"c{high}"), "left").drop(f"c{high}")
         depth = F.coalesce(depth, F.col(name))
         deep = stage.where("depth IS NULL").select(F.col("cell").alias("c"))
         if high == BITS or deep.isEmpty():
             break
-        left = left.join(broadcast_if_small(deep, BROADCAST_CELLS), _prefix(F.col("address"), high) == F.col("c"), "left_semi")
+        left = left.join(broadcast_if_small(deep), _prefix(F.col("address"), high) == F.col("c"), "left_semi")
         low, high = high + 1, min(BITS, high + STAGE_BITS)
     bits = F.expr(f"lpad(bin(address), {BITS}, '0')")
     return placed.withColumn("shard_depth", depth).select(

@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType
 
 from tidewell.llm.components import components
 from tidewell.llm.text import encode
-from tidewell.plans.scratch import materialize
+from tidewell.plans.scratch import discard, materialize
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
