@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "events", "embeddings", "pages", "benchmark", "labels", "conversations", "customer"):
+    for t in ("documents", "events", "embeddings", "pages", "benchmark", "labels", "conversations", "customer", "orders", "supplier"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 

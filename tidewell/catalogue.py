@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewell import catalogue_star
 from tidewell.functions import text, vectors
 from tidewell.operators import reading, render, search, state, stats
 from tidewell.sources.tables import NOW, RULES, Tables
@@ -599,3 +600,8 @@ def opml_import(t: Tables) -> DataFrame:
 def stream_dedup_count(t: Tables) -> DataFrame:
     stream = ingest.deduplicated(ingest.event_stream(t.spark, f"{t.path}/events.parquet"))
     return ingest.run_once(stream, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+for _more in (catalogue_star,):
+    QUERIES.update(_more.QUERIES)
+    ORACLES.update(_more.ORACLES)
