@@ -13,7 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a scratch table is written: shuffle files go with the query, and a
+#: Python worker gets few texts at once.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _DIR = "spark.checkpoint.dir"
 #: Encoded bytes up to which a table may be broadcast; it is some times larger in memory.
 BROADCAST_BYTES = 16 << 20
@@ -40,12 +42,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of the copy."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
