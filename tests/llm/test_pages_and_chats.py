@@ -6,6 +6,8 @@ import re
 import time
 from collections import defaultdict
 
+import pytest
+
 import corpus_pipeline
 from tests.llm.conftest import DOCS, rows_of, words
 from tidewell.llm import chat, html_main
@@ -60,7 +62,83 @@ def test_main_text_is_the_whole_article(spark):
     for h, _, want in cases:
         assert [got[f"{h}{k}"] for k in range(3)] == [want] * 3
     votes = [dict(html_main.Page(html).best()) for _, _, html in rows if html.startswith("<body><div class=x")]
-    assert all("body>div.common" in v for v in votes)
+    assert all(html_main.path_id(["body", "div.common"]) in v for v in votes)
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<a " * 350_000, "<div class='a b c'>" * 50_000 + "x", "<div class='a b c'>y" * 20_000, "<span>" * 50_000 + "<p>x" * 20_000,
+        "<a \"> x" * 100_001, "<a '" * 200_001 + ">", "<!-- " * 200_000, "<li><ul>" + "<span>" * 20_000 + "<li>x</li>" * 20_000, "<script>" * 100_000,
+        "<a \">\" " * 100_000 + "\"", "<td>x" * 100_000, "<p" * 300_000 + ">",
+    ],
+    ids=range(12),
+)
+def test_odd_pages_take_linear_time(source):
+    began = time.perf_counter()
+    page = html_main.Page(source)
+    page.best()
+    page.text(None)
+    assert time.perf_counter() - began < 5
+
+
+def test_unclosed_tags_and_quotes():
+    read = lambda s: html_main.Page(s).text(None)
+    assert read("<p>a < b and c <d") == "a < b and c <d"
+    assert read("<p title=\"oops>One</p><p>Two <b>bold</b> end") == "One Two bold end"
+    assert read("<p title='a>b'>One<!-- gone") == "One"
+
+
+def plain_consensus(pages):
+    """The texts again, from trees of whole paths and without any shortcut."""
+    parsed = [(host, html_main.Page(source)) for host, source in pages]
+
+    def up(p, c):
+        out = []
+        while c >= 0:
+            out.append(c)
+            c = p._parents[c]
+        return out
+
+    votes = defaultdict(float)
+    for host, p in parsed:
+        score = defaultdict(float)
+        for c, text, linked in p.blocks:
+            for level, x in enumerate(up(p, c)):
+                score[x] += max(0, len(text) - 2 * linked) / 2**level
+        best = defaultdict(float)
+        for c, x in score.items():
+            best[p.paths[c]] = max(best[p.paths[c]], x)
+        for path, x in best.items():
+            if x > 0:
+                votes[host, path] += x / max(best.values())
+    out = []
+    for host, p in parsed:
+        won = max(((round(v, 6), path) for (h, path), v in votes.items() if h == host), default=(0, None))[1]
+        wanted = set()
+        for c, _, _ in p.blocks:
+            for x in up(p, c):
+                if p.paths[x] == won:
+                    wanted.add(next((y for y in up(p, x) if p._inner[y][0] == y), next((y for y in up(p, x) if p._inner[y][1] == y), x)))
+        found = [t for c, t, _ in p.blocks if wanted & set(up(p, c))]
+        out.append(" ".join(found) if found else p.text(None))
+    return out
+
+
+def test_consensus_against_a_plain_version(spark):
+    import random
+
+    r, rows = random.Random(3), []
+    for k in range(60):
+        def part(depth):
+            tag = r.choice(["div", "section", "article", "main", "p", "span", "ul"])
+            inner = "".join(part(depth - 1) if r.random() < 0.6 else words(r.randrange(10**6), r.randrange(1, 9)) for _ in range(r.randrange(1, 4))) if depth else words(r.randrange(10**6), 4)
+            return f"<{tag} class='{r.choice('abc')}{r.randrange(3)}'>{inner}</{tag}>"
+        rows.append((k, f"http://h{k % 4}.example/", f"<body>{part(4)}{part(4)}</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_main.extract(pages).collect()}
+    want = plain_consensus([(u, h) for _, u, h in rows])
+    assert [got[k] for k in range(60)] == want
 
 
 def test_chat_round_trip(spark):

@@ -6,23 +6,30 @@ them, half for each level up.  Each page votes once with the generalised tag-cla
 (numbers in classes become ``#``) of each container, by its best score; Spark sums the
 votes per host, and pages are extracted again from the host's winning path, taking all
 of the innermost article (or else main) element around it.  A page without text on that
-path falls back to its own best container.
+path falls back to its own best container.  Pages are parsed twice, for the votes and for
+the text; keeping what was parsed would write all texts once more.
 
-Defined cases: a page of which boilerplate words of class and id leave nothing is read
+Parsing takes time and memory in proportion to the page, however deep or broken: paths
+are chained digests, open elements are found by tag, scores are summed up the tree.
+
+Defined cases: a ``<`` that no ``>`` follows is text; of a tag with an unclosed quote, and
+of tags before that quote, the first ``>`` is the end; a page of which boilerplate words of class and id leave nothing is read
 without them; null or empty html gives an empty text; a null or unparsable url
-belongs to the host ''; equal votes go to the greater path; repeated rows vote as
+belongs to the host ''; equal votes go to the greater path digest; repeated rows vote as
 often as they occur; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from tidewell.plans.scratch import broadcast_if_small, materialize
 
@@ -34,15 +41,18 @@ BLOCKS = CONTAINERS | frozenset(
     "address blockquote dd details dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html head hr li nav aside ol p pre "
     "summary table tbody tfoot th thead tr ul menu dialog button label legend option".split()
 )
-DROPPED = frozenset("nav footer aside form menu dialog button head figcaption label legend option".split()) - {"figcaption"}
+DROPPED = frozenset("nav footer aside form menu dialog button head label legend option".split())
 #: Words of classes and ids that mark boilerplate; fixed values.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsored sponsor promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer sidebar side aside comment comments disqus reply replies cookie cookies consent notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager widget toolbar skip".split()
 )
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""(?:^|\s)(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements that such an end never reaches beyond.
+_LIMITS = {"ul", "ol", "dl", "table", "body"} | (CONTAINERS - {"td"})
 #: Start tags that end an open element of the same kind.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -55,6 +65,19 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
     return ".".join([tag, *classes]), bool(marks & BOILERPLATE)
 
 
+def path_id(labels: list[str]) -> int:
+    """The digest of a path of labels, outermost first."""
+    out = 0
+    for x in labels:
+        out = _chained(out, x)
+    return out
+
+
+def _chained(parent: int, label: str) -> int:
+    made = hashlib.blake2b(parent.to_bytes(8, "little", signed=True) + label.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(made, "little", signed=True)
+
+
 class Page:
     """Blocks of a page with the containers around them."""
 
@@ -66,30 +89,36 @@ class Page:
             self._scan(source)
 
     def _scan(self, source: str) -> None:
-        self.paths: list[str] = []
-        self._whole: list[int] = []  # by container: the innermost article (or else main) around it, or itself
+        # containers, each after its parent: path, parent, innermost article and main (or -1)
+        self.paths: list[int] = []
+        self._parents: list[int] = []
+        self._inner: list[tuple[int, int]] = []
         self._marked = False
-        self.blocks: list[tuple[tuple[int, ...], str, int]] = []  # containers outside in, text, linked characters
-        self._open: list[tuple[str, str, bool, int]] = []  # tag, label, dropped, container or -1
+        self.blocks: list[tuple[int, str, int]] = []  # innermost container, text, linked characters
+        self._open: list[tuple[str, bool, int]] = []  # tag, dropped, innermost container
+        self._at: dict[str, list[int]] = defaultdict(list)  # places of open tags
         self._text: list[str] = []
         self._linked = 0
         self._read(source)
 
     def _dropped(self) -> bool:
-        return bool(self._open) and self._open[-1][2]
+        return bool(self._open) and self._open[-1][1]
+
+    def _container(self) -> int:
+        return self._open[-1][2] if self._open else -1
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                self.blocks.append((tuple(c for _, _, _, c in self._open if c >= 0), text, self._linked))
+                self.blocks.append((self._container(), text, self._linked))
             self._text, self._linked = [], 0
 
     def _add(self, raw: str) -> None:
         if raw and not self._dropped():
             text = html.unescape(raw)
             self._text.append(text)
-            if any(t == "a" for t, _, _, _ in self._open):
+            if self._at["a"]:
                 self._linked += len(text.strip())
 
     def _start(self, tag: str, attrs: str) -> None:
@@ -97,7 +126,7 @@ class Page:
             self._flush()
             self._end_open({"p"}, BLOCKS - {"p"})
             if tag in _CLOSES:
-                self._end_open(_CLOSES[tag], {"ul", "ol", "dl", "table", "body"} | (CONTAINERS - {"td"}))
+                self._end_open(_CLOSES[tag], _LIMITS)
         if tag in VOID:
             if tag == "br":
                 self._add(" ")
@@ -105,95 +134,145 @@ class Page:
         label, marked = _label(tag, attrs)
         self._marked |= marked
         marked &= self._marks
-        inside = any(t in ("article", "main") for t, _, _, _ in self._open)
+        inside = bool(self._at["article"] or self._at["main"])
         bad = tag in DROPPED or (tag == "header" and not inside) or (marked and tag not in ("html", "body", "article", "main"))
-        container = -1
+        container = self._container()
         if tag in CONTAINERS and not bad and not self._dropped():
-            self.paths.append(">".join([x for t, x, _, c in self._open if c >= 0] + [label]))
-            container = len(self.paths) - 1
-            around = [(t, c) for t, _, _, c in self._open if c >= 0] + [(tag, container)]
-            self._whole.append(next((c for kind in ("article", "main") for t, c in reversed(around) if t == kind), container))
-        self._open.append((tag, label, bad or self._dropped(), container))
+            parent, container = container, len(self.paths)
+            self.paths.append(_chained(self.paths[parent] if parent >= 0 else 0, label))
+            self._parents.append(parent)
+            article, main = self._inner[parent] if parent >= 0 else (-1, -1)
+            self._inner.append((container if tag == "article" else article, container if tag == "main" else main))
+        self._at[tag].append(len(self._open))
+        self._open.append((tag, bad or self._dropped(), container))
+
+    def _last(self, tags: set[str] | frozenset[str]) -> int:
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=-1)
+
+    def _close(self, place: int) -> None:
+        while len(self._open) > place:
+            self._at[self._open.pop()[0]].pop()
 
     def _end_open(self, tags: set[str], barrier: frozenset[str] | set[str]) -> None:
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k][0] in tags:
-                del self._open[k:]
-                return
-            if self._open[k][0] in barrier:
-                return
+        place = self._last(tags)
+        if place >= 0 and place > self._last(barrier - tags):
+            self._close(place)
 
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
-        if any(t == tag for t, _, _, _ in self._open):
-            while self._open.pop()[0] != tag:
-                pass
+        if self._at.get(tag):
+            self._close(self._at[tag][-1])
+
+    def _tag_end(self, source: str, at: int) -> int:
+        """Where the tag whose name ends at ``at`` ends, or -1 if nowhere."""
+        p = at
+        while at >= self._lenient:
+            m = _STOP.search(source, p)
+            if m is None:
+                return -1
+            if m[0] == ">":
+                return m.start()
+            p = source.find(m[0], m.end()) + 1
+            if not p:  # this quote is the last of its kind
+                self._lenient = m.end()
+                break
+        return source.find(">", at)
 
     def _read(self, source: str) -> None:
-        at, low = 0, None
+        at, low, self._lenient, last = 0, None, 0, source.rfind(">")
         while True:
-            m = _TOKEN.search(source, at)
-            if m is None:
+            lt = source.find("<", at)
+            if lt < 0 or (lt > last and not source.startswith("<!--", lt)):
                 break
-            self._add(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            if source.startswith("<!--", lt):
+                self._add(source[at:lt])
+                end = source.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else len(source)
+                continue
+            if source.startswith(("<!", "<?"), lt):
+                self._add(source[at:lt])
+                at = source.find(">", lt) + 1
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            m = _TAG.match(source, lt)
+            end = self._tag_end(source, m.end()) if m else -1
+            if end < 0:
+                self._add(source[at : lt + 1])
+                at = lt + 1
+                continue
+            self._add(source[at:lt])
+            at = end + 1
+            tag, attrs = m[1].lower(), source[m.end() : end]
+            if source.startswith("/", lt + 1):
                 self._end(tag)
             elif tag in RAW:
-                if not m[3].endswith("/"):
+                if not attrs.endswith("/"):
                     low = low or source.lower()
                     close = low.find(f"</{tag}", at)
                     end = source.find(">", close) if close >= 0 else -1
                     at = end + 1 if end >= 0 else len(source)
             else:
-                self._start(tag, m[3])
+                self._start(tag, attrs)
         self._add(source[at:])
         self._flush()
 
-    def scores(self) -> dict[int, float]:
-        out: dict[int, float] = {}
-        for around, text, linked in self.blocks:
-            share = float(max(0, len(text) - 2 * linked))
-            for c in reversed(around):
-                out[c] = out.get(c, 0.0) + share
-                share /= 2
+    def scores(self) -> list[float]:
+        """Each container's unlinked characters, those of each level below at half."""
+        out = [0.0] * len(self.paths)
+        for c, text, linked in self.blocks:
+            if c >= 0:
+                out[c] += max(0, len(text) - 2 * linked)
+        for c in range(len(out) - 1, -1, -1):
+            if self._parents[c] >= 0:
+                out[self._parents[c]] += out[c] / 2
         return out
 
-    def best(self) -> list[tuple[str, float]]:
+    def best(self) -> list[tuple[int, float]]:
         """Each container path with its best container's share of the best score."""
-        best: dict[str, float] = {}
-        for c, s in self.scores().items():
-            if s > best.get(self.paths[c], 0.0):
-                best[self.paths[c]] = s
+        best: dict[int, float] = {}
+        for path, s in zip(self.paths, self.scores(), strict=True):
+            if s > best.get(path, 0.0):
+                best[path] = s
         top = max(best.values(), default=0.0)
         return [(p, s / top) for p, s in best.items()]
 
-    def text(self, path: str | None) -> str:
-        wanted = {self._whole[c] for c in {c for around, _, _ in self.blocks for c in around} if self.paths[c] == path}
-        found = [t for around, t, _ in self.blocks if wanted.intersection(around)]
+    def _whole(self, c: int) -> int:
+        article, main = self._inner[c]
+        return article if article >= 0 else main if main >= 0 else c
+
+    def _below(self, wanted: set[int]) -> list[str]:
+        """Texts of the blocks in the containers, in page order."""
+        inside = [False] * len(self.paths)
+        for c, parent in enumerate(self._parents):
+            inside[c] = c in wanted or (parent >= 0 and inside[parent])
+        return [t for c, t, _ in self.blocks if c >= 0 and inside[c]]
+
+    def text(self, path: int | None) -> str:
+        held = [False] * len(self.paths)
+        for c, _, _ in self.blocks:
+            if c >= 0:
+                held[c] = True
+        for c in range(len(held) - 1, -1, -1):
+            if held[c] and self._parents[c] >= 0:
+                held[self._parents[c]] = True
+        found = self._below({self._whole(c) for c, p in enumerate(self.paths) if p == path and held[c]})
         if not found:
-            ranked = sorted(self.scores().items(), key=lambda x: (-x[1], x[0]))
-            if ranked:
-                found = [t for around, t, _ in self.blocks if self._whole[ranked[0][0]] in around]
+            scores = self.scores()
+            if any(held):
+                found = self._below({self._whole(max((c for c in range(len(held)) if held[c]), key=lambda c: (scores[c], -c)))})
             else:
                 found = [t for _, t, _ in self.blocks]
         return " ".join(found)
 
 
-@pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("score", DoubleType())])))
+@pandas_udf(ArrayType(StructType([StructField("path", LongType()), StructField("score", DoubleType())])))
 def best_paths(source: pd.Series) -> pd.Series:
     return pd.Series([Page(x or "").best() for x in source], dtype=object)
 
 
 @pandas_udf(StringType())
 def text_of(source: pd.Series, path: pd.Series) -> pd.Series:
-    return pd.Series([Page(x or "").text(p) for x, p in zip(source, path, strict=True)], dtype=object)
-
-
+    return pd.Series([Page(x or "").text(None if pd.isna(p) else int(p)) for x, p in zip(source, path.astype("Int64"), strict=True)], dtype=object)
 
 
 def host_paths(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
