@@ -405,6 +405,67 @@ def test_license_scan(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def brute_labels(words, index):
+    """Every start of every template, scored and searched for key phrases."""
+    at = defaultdict(list)
+    for p, w in enumerate(words):
+        at[w].append(p)
+    out = set()
+    for t, template in enumerate(index.words):
+        for start in range(-index.slack[t], len(words)):
+            if index.share(t, start, at) >= licenses.MIN_SHARE and index.stands(t, start, words):
+                out.add(index.labels[t])
+                break
+    return out
+
+
+def test_license_labels_against_every_alignment(spark):
+    """Licences among other words, with words put in, left out and changed, and two in one text."""
+    import random
+
+    r = random.Random(7)
+    prose = ["die", "mole", "under", "the", "of", "license", "software", "and", *words(9, 60).split()]
+    rows = []
+    for k, (_, text, _) in enumerate(licenses.TEMPLATES * 2):
+        body = []
+        for w in text.split():
+            roll = r.random()
+            if k >= len(licenses.TEMPLATES) and roll < 0.03:
+                continue
+            body.append(w)
+            if k >= len(licenses.TEMPLATES) and roll > 0.97:
+                body.append(r.choice(prose))
+        around = [r.choice(prose) for _ in range(r.randrange(150))]
+        other = licenses.TEMPLATES[r.randrange(len(licenses.TEMPLATES))][1] if k % 3 == 0 else ""
+        rows.append((k, " ".join([*around, *body, *around[::-1], other])))
+    rows += [(1000 + k, " ".join(r.choice(prose) for _ in range(400))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: set(x.labels.split(",")) - {""} for x in licenses.scan(docs).collect()}
+    vocabulary = set(licenses.Index(licenses.TEMPLATES).postings)
+    index = licenses.Index(licenses.TEMPLATES, *licenses.document_frequencies(docs, vocabulary))
+    clean = {d: t for d, t in rows}
+    missed = extra = held = 0
+    for d, t in rows:
+        w = licenses.letter_words(t)
+        want = brute_labels(w, index)
+        base = {label for _, label in licenses.places(w)}
+        held += len(want)
+        missed += len(want - got[d])
+        extra += len(got[d] - want - base)
+    assert held > 80 and extra == 0 and missed <= held // 50
+    for k, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k], label
+    assert all(not got[d] for d in clean if d >= 1000)
+
+
+def test_license_scan_of_odd_texts(spark):
+    long = " ".join(["the", "of", "license"] * 100_000)
+    text = licenses.TEMPLATES[0][1]
+    docs = spark.createDataFrame([(None, text), (None, text), (1, long), (2, "x " * 200_000 + text)], "doc_id long, text string")
+    got = [(r.doc_id, r.labels) for r in licenses.scan(docs).collect()]
+    assert got == [(None, "mit"), (None, "mit"), (1, ""), (2, "mit")]
+
+
 # --- packing -----------------------------------------------------------------
 
 

@@ -1,67 +1,51 @@
 """License scans over a positional rare-token index.
 
-Templates are indexed by the positions of their words.  Document frequencies of
-the template vocabulary, counted over all documents, give each word's IDF; a
-template's ``RARE`` highest-IDF words are its look-up words.  A document that holds
-one proposes an alignment (document position minus template position); alignments
-are scored by the IDF share of template words found at their relative positions,
-and a template counts where its key phrases stand at theirs.  Base phrases are
-found wherever their words stand consecutively.
+Templates (whole licence texts and notices) are indexed by the positions of their words.
+Document frequencies of the template vocabulary, counted over all documents, give each
+word's IDF.  Of every stretch of ``STRETCH`` words (they overlap by half) the ``RARE`` licence words of
+highest IDF are looked up among the templates that a document may hold at all: each place proposes alignments (document position minus
+template position).  Proposals of a template that lie close together are intersected;
+where enough different words agree, the template is scored by the IDF share of its words
+that stand within some words of their relative positions, and counts where its key
+phrases stand there.  Base phrases are found wherever their words stand consecutively.
 
 Defined cases: null and empty texts hold no words, no labels and score 0; equal
-IDF is ordered by the word, equal scores do not matter; repeated rows are judged
-alike; an empty table gives an empty result; other columns pass by.
+IDF is ordered by the word; alignments of equal support are taken by position; repeated
+rows, null ids too, are judged alike; an empty table gives an empty result; other columns
+pass by.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidewell.llm.license_texts import TEMPLATES
 from tidewell.llm.text import letter_words
 
 #: Base phrases and their labels; fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: (label, template, key phrases that must stand in place); fixed values.
-TEMPLATES = [
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"]),
-    ("apache-2", "licensed under the apache license version 2 0", ["apache license version 2"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-]
-RARE, MIN_SHARE = 3, 0.6
-_WORDS = [[w.encode() for w in t.split()] for _, t, _ in TEMPLATES]
-VOCABULARY = sorted(set().union(*_WORDS))
+#: Words of a stretch and how many of its licence words are looked up there; different words
+#: that must agree on an alignment (half of a shorter template's); least share.
+STRETCH, RARE, AGREE, MIN_SHARE = 64, 8, 3, 0.6
 _PHRASES = [(p.encode(), label) for p, label in BASE.items()]
+Template = tuple[str, str, list[str]]
 
 
-def _keys(k: int) -> list[tuple[int, list[bytes]]]:
-    """(offset, words) of a template's key phrases."""
-    words, out = _WORDS[k], []
-    for phrase in TEMPLATES[k][2]:
-        want = [w.encode() for w in phrase.split()]
-        out.append((next(i for i in range(len(words)) if words[i : i + len(want)] == want), want))
-    return out
-
-
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[bytes, int]]:
+def document_frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "text") -> tuple[int, dict[bytes, int]]:
     """Documents, and how many hold each word of the template vocabulary (a bounded answer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df = set(VOCABULARY), Counter()
+        df = Counter()
         for batch in batches:
             df[b""] += batch.num_rows
             for t in batch.column(0):
-                df.update(known.intersection(letter_words(t.as_py())))
+                df.update(vocabulary.intersection(letter_words(t.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in df], pa.string()), pa.array(list(df.values()), pa.int64())], ["word", "n"])
 
     rows = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -70,30 +54,92 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict
 
 
 class Index:
-    """Rare look-up words with their template postings, and IDF weights."""
-
-    def __init__(self, n_docs: int, df: dict[bytes, int]) -> None:
-        self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 0.5)) + 1e-9 for w in VOCABULARY}
-        self.rare: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, words in enumerate(_WORDS):
-            for w in sorted(set(words), key=lambda w: (-self.idf[w], w))[:RARE]:
-                self.rare[w] += [(k, i) for i, x in enumerate(words) if x == w]
-        self.total = [sum(self.idf[w] for w in words) for words in _WORDS]
-        self.lookup, self.keys = frozenset(self.rare), [_keys(k) for k in range(len(TEMPLATES))]
+    """Template words with their postings and IDF weights."""
+
+    def __init__(self, templates: list[Template], n_docs: int = 0, df: dict[bytes, int] | None = None) -> None:
+        self.labels = [label for label, _, _ in templates]
+        self.words = [letter_words(text) for _, text, _ in templates]
+        self.keys = [[b" " + b" ".join(letter_words(k)) + b" " for k in keys] for _, _, keys in templates]
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, words in enumerate(self.words):
+            for i, w in enumerate(words):
+                self.postings[w].append((t, i))
+        self.idf = {w: math.log((n_docs + 1) / ((df or {}).get(w, 0) + 0.5)) + 1e-9 for w in self.postings}
+        self.total = [sum(self.idf[w] for w in words) for words in self.words]
+        self.slack = [4 + len(words) // 10 for words in self.words]
+        self.agree = [min(AGREE, (len(set(words)) + 1) // 2) for words in self.words]
+
+    def likely(self, present: set[bytes]) -> set[int]:
+        """Templates enough of whose words, by weight, occur at all."""
+        held: dict[int, float] = defaultdict(float)
+        for w in present:
+            for t, _ in self.postings[w]:
+                held[t] += self.idf[w]
+        return {t for t, x in held.items() if x >= MIN_SHARE * self.total[t]}
+
+    def proposals(self, part: list[bytes], first: int, likely: set[int]) -> dict[int, list[tuple[int, bytes]]]:
+        """By template, the (start, word) that the rare words of a stretch propose."""
+        out: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        rare = set(sorted(self.postings.keys() & set(part), key=lambda w: (-self.idf[w], w))[:RARE])
+        for at, w in enumerate(part, first) if len(rare) > 1 else ():
+            if w in rare:
+                for t, i in self.postings[w]:
+                    if t in likely:
+                        out[t].append((at - i, w))
+        return out
+
+    def starts(self, t: int, proposed: list[tuple[int, bytes]]) -> list[int]:
+        """Starts on which enough different words agree, the best one of each cluster."""
+        out, proposed = [], sorted(proposed)
+        first = 0
+        for k in range(1, len(proposed) + 1):
+            if k == len(proposed) or proposed[k][0] - proposed[k - 1][0] > self.slack[t] or proposed[k][0] - proposed[first][0] > 2 * self.slack[t]:
+                cluster = proposed[first:k]
+                if len({w for _, w in cluster}) >= self.agree[t]:
+                    counts = Counter(start for start, _ in cluster)
+                    out.append(min(counts, key=lambda s: (-counts[s], s)))
+                first = k
+        return out
+
+    def share(self, t: int, start: int, at: dict[bytes, list[int]]) -> float:
+        """IDF share of the template's words that stand about where they should."""
+        slack, found = self.slack[t], 0.0
+        for i, w in enumerate(self.words[t]):
+            held = at.get(w)
+            if held:
+                k = bisect_left(held, start + i - slack)
+                if k < len(held) and held[k] <= start + i + slack:
+                    found += self.idf[w]
+        return min(1.0, found / self.total[t])
+
+    def stands(self, t: int, start: int, words: list[bytes]) -> bool:
+        """Whether the key phrases stand in the words around the alignment."""
+        a, b = max(0, start - self.slack[t]), max(0, start + len(self.words[t]) + self.slack[t])
+        region = b" " + b" ".join(words[a:b]) + b" "
+        return all(k in region for k in self.keys[t])
 
     def best(self, words: list[bytes]) -> tuple[set[str], float]:
         """Labels of templates that align with their key phrases, and the best share."""
-        present = self.lookup.intersection(words)
-        if not present:
+        present = self.postings.keys() & set(words)
+        likely = self.likely(present) if len(present) > 1 else set()
+        if not likely:
             return set(), 0.0
-        aligned = {(k, at - i) for at, w in enumerate(words) if w in present for k, i in self.rare[w]}
-        labels, score, n = set(), 0.0, len(words)
-        for k, start in aligned:
-            share = sum(self.idf[w] for i, w in enumerate(_WORDS[k]) if 0 <= start + i < n and words[start + i] == w) / self.total[k]
-            score = max(score, share)
-            if share >= MIN_SHARE and all(start + i >= 0 and words[start + i : start + i + len(p)] == p for i, p in self.keys[k]):
-                labels.add(TEMPLATES[k][0])
-        return labels, min(1.0, score)
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for p, w in enumerate(words):
+            if w in present:
+                at[w].append(p)
+        labels, score, seen = set(), 0.0, set()
+        for a in range(0, len(words), STRETCH // 2):
+            for t, found in self.proposals(words[a : a + STRETCH], a, likely).items():
+                for start in self.starts(t, found):
+                    if (t, start) in seen:
+                        continue
+                    seen.add((t, start))
+                    share = self.share(t, start, at)
+                    score = max(score, share)
+                    if share >= MIN_SHARE and self.labels[t] not in labels and self.stands(t, start, words):
+                        labels.add(self.labels[t])
+        return labels, score
 
 
 def places(words: list[bytes]) -> list[tuple[int, str]]:
@@ -107,9 +153,10 @@ def places(words: list[bytes]) -> list[tuple[int, str]]:
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: list[Template] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row."""
-    index = Index(*document_frequencies(docs, text))
+    vocabulary = set(Index(templates).postings)
+    index = Index(templates, *document_frequencies(docs, vocabulary, text))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
