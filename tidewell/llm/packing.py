@@ -29,13 +29,15 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
+from tidewell.llm.text import CACHES
 from tidewell.plans.scratch import materialize
 
 #: Documents of a packing group; cached chunks of a worker and their characters.
-GROUP, CACHE, CACHED_CHARS = 20_000, 300_000, 48
+GROUP, CACHE, CACHED_CHARS = 20_000, 600_000, 48
 #: A Latin word; a mark with a lone line break; all up to a space that a non-space follows.
 _CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-\x40\x5B-\x60\x7B-\x7F]|\Z)|[.,;:!?]\n(?=[A-Za-z])|(?s:.)[^ ]*(?: (?!\S)[^ ]*)*")
 _ENCODERS: dict[str, "Encoder"] = {}
+CACHES.append(_ENCODERS)
 
 
 class Encoder:
