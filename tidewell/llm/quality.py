@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewell.llm.text import encode
+from tidewell.llm.text import drop_caches, encode
 from tidewell.plans.scratch import broadcast_if_small, materialize
 
 SIGNALS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -69,6 +69,7 @@ def _signals(text: str | None) -> tuple[int, int, int, int, int]:
 
 @pandas_udf(StructType([StructField(c, LongType()) for c in SIGNALS]))
 def quality_signals(text: pd.Series) -> pd.DataFrame:
+    drop_caches()
     return pd.DataFrame([_signals(t) for t in text], columns=SIGNALS, dtype="int64")
 
 

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.text import plain_words, row_key
+from tidewell.llm.text import drop_caches, plain_words, row_key
 from tidewell.plans.scratch import broadcast_if_small, discard, materialize
 
 ANCHOR, SHARD_BYTES, BLOCK = 8, 4 << 20, 1 << 16
@@ -123,6 +123,7 @@ def _emit_anchors(window: int):
     """(shard, text) to (shard, phrase): the anchor phrases of each text by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         shards, phrases = [], []
         for batch in batches:
             for shard, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
