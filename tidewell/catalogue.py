@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell import catalogue_star
+from tidewell import catalogue_feeds, catalogue_star
 from tidewell.functions import text, vectors
 from tidewell.operators import reading, render, search, state, stats
 from tidewell.sources.tables import NOW, RULES, Tables
@@ -423,7 +423,7 @@ def is_truncated(t: Tables) -> DataFrame:
 
 @query(
     "contact_page",
-    "SELECT doc_id, len(regexp_extract_all(text, '(?i)[a-z0-9._%+-]+(@| at )[a-z0-9.-]+(\\.| dot )[a-z]{2,}')) >= 3 AS contacts FROM documents",
+    f"SELECT doc_id, len(regexp_extract_all({_DOC_STRIP}, '{text.ADDRESS}')) >= 3 AS contacts FROM documents",
     base=False,
 )
 def contact_page(t: Tables) -> DataFrame:
@@ -467,9 +467,15 @@ def relative_date(t: Tables) -> DataFrame:
     return t.articles.select("article_id", text.relative_date(seconds, F.col("published")).alias("shown"))
 
 
-@query("extract_json", "SELECT event_id, regexp_extract('said: ' || props || ' end', '(?s)\\{.*\\}', 0) AS body FROM events", base=False)
+@query(
+    "extract_json",
+    "SELECT event_id, CASE WHEN said LIKE '%{%}%' THEN regexp_extract(said, '(?s)\\{.*\\}', 0) ELSE said END AS body "
+    "FROM (SELECT event_id, 'said: ' || CASE WHEN event_id % 5 = 0 THEN event_type ELSE props END || ' end' AS said FROM events)",
+    base=False,
+)
 def extract_json(t: Tables) -> DataFrame:
-    return t.read("events").select("event_id", text.extract_json(F.concat(F.lit("said: "), F.col("props"), F.lit(" end"))).alias("body"))
+    said = F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise(F.col("props"))
+    return t.read("events").select("event_id", text.extract_json(F.concat(F.lit("said: "), said, F.lit(" end"))).alias("body"))
 
 
 @query("garbage_flag", "SELECT conv_id, turn, " + " OR ".join(f"contains(lower(role || ' ' || text), '{g}')" for g in text.GARBAGE) + " AS garbage FROM conversations", base=False)
@@ -602,6 +608,6 @@ def stream_dedup_count(t: Tables) -> DataFrame:
     return ingest.run_once(stream, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-for _more in (catalogue_star,):
+for _more in (catalogue_star, catalogue_feeds):
     QUERIES.update(_more.QUERIES)
     ORACLES.update(_more.ORACLES)

@@ -35,9 +35,17 @@ def is_truncated(s: Column, min_chars: int = 500) -> Column:
     return marked | ((text_length(s) < min_chars) & ~ends_sentence(text))
 
 
+#: E-mail addresses, plain or written out; fixed pattern.
+ADDRESS = (
+    r"(?i)\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
+    r"|\b\S+\s+at\s+\S+\s+dot\s+\S+\b"
+    r"|\b\S+\s+at\s+[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
+)
+
+
 def looks_like_contacts(s: Column, least: int = 3) -> Column:
-    """At least ``least`` e-mail addresses, plain or written out."""
-    return F.regexp_count(s, F.lit(r"(?i)[a-z0-9._%+-]+(@| at )[a-z0-9.-]+(\.| dot )[a-z]{2,}")) >= least
+    """At least ``least`` e-mail addresses outside tags."""
+    return F.regexp_count(strip_tags(s), F.lit(ADDRESS)) >= least
 
 
 def clean_title(s: Column) -> Column:
@@ -46,8 +54,9 @@ def clean_title(s: Column) -> Column:
 
 
 def extract_json(s: Column) -> Column:
-    """From the first ``{`` to the last ``}``, else empty."""
-    return F.regexp_extract(s, r"(?s)\{.*\}", 0)
+    """From the first ``{`` to the last ``}``, else the whole text."""
+    found = F.regexp_extract(s, r"(?s)\{.*\}", 0)
+    return F.when(found == "", s).otherwise(found)
 
 
 def is_garbage(s: Column) -> Column:
@@ -62,10 +71,25 @@ def image_key(url: Column) -> Column:
     return F.regexp_replace(url, r"[?#].*$", "")
 
 
+def cut_bytes(s: Column, n: int) -> Column:
+    """The characters that lie wholly in the first ``n`` bytes."""
+    raw = F.substring(s.cast("binary"), 1, n)
+    return F.when(F.octet_length(s) <= n, s).otherwise(F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\ufffd+$", ""))
+
+
+def truncate_bytes(s: Column, n: int) -> Column:
+    """Cut to ``n`` bytes, with a mark where something was cut."""
+    return F.when(F.octet_length(s) <= n, s).otherwise(F.concat(cut_bytes(s, n), F.lit("...")))
+
+
 def truncate(s: Column, n: int) -> Column:
-    """Cut to ``n`` characters and mark the cut."""
-    t = F.trim(s)
-    return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("..."))).otherwise(t)
+    """Trimmed, and cut to ``n`` bytes with a mark."""
+    return truncate_bytes(F.trim(s), n)
+
+
+def rfc3339(at: Column) -> Column:
+    """A UTC time as text; empty where there is none."""
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
 
 
 def shingle_overlap(a: Column, b: Column, size: int = 3) -> Column:

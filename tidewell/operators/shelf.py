@@ -138,6 +138,19 @@ def unsummarized(s: Star, user: int | None = None) -> DataFrame:
     return subscribed(s, user).join(have, ["user_id", "id"], "left_anti")
 
 
+def decayed(s: Star, now: str, threshold: float = 8.0, user: int | None = None, rules: int | None = None) -> DataFrame:
+    """Unread articles whose raw interest reaches the threshold, with the score that their age leaves them.
+
+    An article without a date is as old as its fetch.
+    """
+    at, date = F.lit(now).cast("timestamp_ntz"), F.coalesce("published_date", "fetched_date")
+    days = F.greatest(F.lit(0.0), F.timestamp_diff("SECOND", date, at) / 86400.0)
+    state = only(s["read_state"], user_id=user).where((F.col("interest_score") >= threshold) & ~F.col("read"))
+    rows = state.select("user_id", F.col("article_id").alias("id"), "interest_score").join(s["articles"].select("id", "feed_id", "published_date", "fetched_date"), "id")
+    scored = rows.select("user_id", "id", "feed_id", "interest_score", (F.col("interest_score") / (1.0 + 0.1 * F.coalesce(days, F.lit(0.0)))).alias("decayed"))
+    return passing(s, scored, rules)
+
+
 # --- feeds -------------------------------------------------------------------
 
 
@@ -157,6 +170,20 @@ def user_feeds(s: Star, user: int | None = None) -> DataFrame:
     return rows.select("user_id", "id", F.coalesce("user_title", "title").alias("title"), "url")
 
 
+def fetch_intervals(s: Star, now: str, last: int = 11) -> DataFrame:
+    """(feed_id, minutes) until each feed's next fetch, by its last posts; a day for a feed without any."""
+    from tidewell.operators.stats import fetch_interval
+
+    recent = Window.partitionBy("feed_id").orderBy(F.desc("published_date"), F.desc("id"))
+    posts = s["articles"].where("published_date IS NOT NULL").select("feed_id", "id", "published_date").withColumn("i", F.row_number().over(recent)).where(F.col("i") <= last)
+    gap = F.timestamp_diff("SECOND", F.lead("published_date").over(recent), F.col("published_date"))
+    gaps = posts.withColumn("gap", gap).groupBy("feed_id").agg(F.max("published_date").alias("last_post"), F.array_sort(F.collect_list(F.when(F.col("gap") > 0, F.col("gap")))).alias("gaps"))
+    median = F.get("gaps", F.floor(F.size("gaps") / 2).cast("int")) / 60.0
+    age = F.timestamp_diff("SECOND", F.col("last_post"), F.lit(now).cast("timestamp_ntz")) / 60.0
+    known = gaps.select("feed_id", fetch_interval(age, median).cast("long").alias("minutes"))
+    return s["feeds"].select(F.col("id").alias("feed_id")).join(known, "feed_id", "left").select("feed_id", F.coalesce("minutes", F.lit(1440)).alias("minutes"))
+
+
 def without_favicons(s: Star) -> DataFrame:
     return followed(s).join(s["feed_favicons"].select(F.col("feed_id").alias("id")), "id", "left_anti").select("id", "url", "site_url")
 
