@@ -540,6 +540,18 @@ def semantic_topk(t: Tables) -> DataFrame:
     return _semantic(t).select("query_id", "article_id", F.round("cos", 6).alias("cos"))
 
 
+@query(
+    "semantic_rows",
+    "SELECT query_id, article_id, round(cos, 6) AS cos FROM (SELECT q.vec_id AS query_id, v.vec_id AS article_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS cos, "
+    "row_number() OVER (PARTITION BY q.vec_id ORDER BY round(cos, 9) DESC, v.vec_id) AS i FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 WHERE cos > 0.3) WHERE i <= 20",
+    base=False,
+)
+def semantic_rows(t: Tables) -> DataFrame:
+    """Every vector whose id is divisible by 20, against all vectors."""
+    queries = t.vectors.where("article_id % 20 = 0").select(F.col("article_id").alias("query_id"), "embedding")
+    return search.semantic(t.vectors, queries).select("query_id", "article_id", F.round("cos", 6).alias("cos"))
+
+
 @query(
     "hybrid_search",
     _BM25 + _CENTERS + _NEAREST + """

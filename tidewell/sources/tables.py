@@ -61,7 +61,9 @@ class Tables:
 
     @cached_property
     def subscriptions(self) -> DataFrame:
-        return self.users.join(self.feeds.select("feed_id"), F.expr("(user_id * 7 + feed_id) % 3 = 0"))
+        # (user_id * 7 + feed_id) % 3 = 0, as an equi-join
+        users = self.users.withColumn("r", F.expr("pmod(user_id, 3)"))
+        return users.join(self.feeds.select("feed_id", F.expr("pmod(-feed_id, 3)").alias("r")), "r").drop("r")
 
     @cached_property
     def state(self) -> DataFrame:
