@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewell.plans.scratch import broadcast_if_small
 from tidewell.sources.tables import Tables
 
-#: Rule sets and group lists up to this many rows are broadcast.
-SMALL = 100_000
-
 
 def newest(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(F.desc_nulls_last("published"), F.desc("article_id")).offset(offset).limit(limit)
@@ -52,7 +49,7 @@ def rule_scores(t: Tables, articles: DataFrame) -> DataFrame:
     category = t.categories.select("article_id", F.lit("category").alias("kind"), F.lower("category").alias("value"))
     kind = F.when(F.col("axis") == "author", "author").otherwise("category")
     rules = t.rules.select("rule_id", F.col("user_id").alias("rule_user"), F.col("feed_id").alias("rule_feed"), kind.alias("kind"), F.lower("value").alias("value"), "score")
-    hits = author.unionByName(category).join(broadcast_if_small(rules, SMALL), ["kind", "value"])
+    hits = author.unionByName(category).join(broadcast_if_small(rules), ["kind", "value"])
     own = articles.select("user_id", "article_id", "feed_id").join(hits, "article_id").where(
         (F.col("user_id") == F.col("rule_user")) & (F.col("rule_feed").isNull() | (F.col("rule_feed") == F.col("feed_id")))
     )
@@ -64,7 +61,7 @@ def above_threshold(t: Tables, articles: DataFrame, threshold: int | None) -> Da
     """Keep articles whose rules sum to the threshold; users without rules keep all."""
     if threshold is None:
         return articles
-    ruled = broadcast_if_small(t.rules.select("user_id").distinct().withColumn("ruled", F.lit(True)), SMALL)
+    ruled = broadcast_if_small(t.rules.select("user_id").distinct().withColumn("ruled", F.lit(True)))
     scored = articles.join(rule_scores(t, articles), ["user_id", "article_id"], "left").join(ruled, "user_id", "left")
     return scored.where(F.col("ruled").isNull() | (F.coalesce("rule_score", F.lit(0)) >= threshold)).drop("ruled", "rule_score")
 
