@@ -326,6 +326,53 @@ def test_lm_base_and_held_out(spark, small, odd, empty):
     assert lm.score_texts(empty).count() == 0
 
 
+def brute_ppm(train, data):
+    """log10 probability of a text symbol by symbol, from dictionaries of contexts."""
+    counts = defaultdict(Counter)
+    pad = lambda t: [lm.START] * lm.ORDER + list(t) + [lm.STOP]
+    for t in train:
+        a = pad(t)
+        for i in range(lm.ORDER, len(a)):
+            for k in range(lm.ORDER + 1):
+                counts[tuple(a[i - k : i])][a[i]] += 1
+    a, total = pad(data), 0.0
+    for i in range(lm.ORDER, len(a)):
+        gone, p = set(), 1.0
+        for k in range(lm.ORDER, -1, -1):
+            seen = counts.get(tuple(a[i - k : i]), {})
+            live = {s: c for s, c in seen.items() if s not in gone}
+            if not live:
+                continue
+            if a[i] in live:
+                p *= live[a[i]] / (sum(live.values()) + len(live))
+                break
+            p *= len(live) / (sum(live.values()) + len(live))
+            gone |= set(seen)
+        else:
+            p /= lm.SYMBOLS - len(counts.get((), {}))
+        total += np.log10(p)
+    return total
+
+
+@pytest.mark.parametrize("part", [1 << 20, 5])
+def test_held_out_scores_against_plain_matching(spark, monkeypatch, part):
+    import random
+
+    monkeypatch.setattr(lm, "PART", part)
+    r = random.Random(11)
+    rows = [(d, "".join(r.choice("abcde éA\n") for _ in range(r.randrange(40)))) for d in range(120)] + [(500, None), (None, "Abé"), (3, "again")]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    train = [(t or "").encode() for d, t in rows if not held(d)]
+    got = sorted((repr(x.doc_id), x.held_out, round(x.score, 8)) for x in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((repr(d), held(d), round(brute_ppm(train, (t or "").encode()), 8)) for d, t in rows)
+
+
+def test_lm_without_training_texts(spark):
+    ids = [d for d in range(200) if zlib.crc32(str(d).encode()) % 10 == 0]
+    got = lm.score_texts(spark.createDataFrame([(d, "ab") for d in ids], "doc_id long, text string")).collect()
+    assert {(x.held_out, x.n_known, x.train_tokens, round(x.score, 6)) for x in got} == {(True, 0, 0, round(-3 * np.log10(257), 6))}
+
+
 # --- sharding ----------------------------------------------------------------
 
 

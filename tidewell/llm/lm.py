@@ -5,12 +5,13 @@ end mark closes a text).  A symbol is coded in the longest context seen; unseen
 there, the escape (method C: as many counts as distinct symbols) leads to the next
 shorter context, from which the symbols of the longer one are excluded; below the
 empty context all other symbols are equally likely.  Counts come from all training
-texts.
+texts.  The model reads a text's bytes as they are; only the words of the base score are
+lower-cased.
 
 Documents are dealt to shards of ``SHARD_BYTES`` of text.  A shard's distinct
 (context, symbol) grams and words are counted, summed over all shards, turned into
-log-probabilities (one task holds one two-byte context's subtree, 257**3 grams at
-most; the orders below are 257**2 counts) and joined back to the shards that hold
+log-probabilities (a group is one two-byte context's subtree, 257**3 grams and counts of
+eight bytes at most, worked out in parts; the orders below are 257**2 counts) and joined back to the shards that hold
 them.  No model is broadcast whole.
 
 Defined cases: a null or empty text is its end mark; a null id counts as the empty
@@ -32,6 +33,8 @@ from tidewell.llm.text import encode
 from tidewell.plans.scratch import materialize
 
 ORDER, SHARD_BYTES, CHUNK = 4, 16 << 20, 1 << 21
+#: Grams whose probabilities are worked out at once.
+PART = 1 << 20
 START, STOP, SYMBOLS = 256, 257, 257
 #: Stands for the end token among words; white space is no word.
 END_WORD = b"\n"
@@ -93,11 +96,30 @@ def _counts(table: pa.Table) -> pa.Table:
     )
 
 
-def code_lengths(gram: np.ndarray, n: np.ndarray, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the grams below one two-symbol context.
+def subtree(gram: np.ndarray, n: np.ndarray, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """``code_lengths`` of all grams below one two-symbol context, taken some ``PART`` grams at a time.
+
+    A part holds whole three-symbol contexts, so only the counts of the two-symbol context are shared.
+    """
+    two, third = np.bincount(gram & 511, n, 512), (gram >> 27) & 511
+    order = np.argsort(third, kind="stable")
+    ends = np.cumsum(np.bincount(third, minlength=512))
+    out, at = np.empty(len(gram)), 0
+    while at < len(gram):
+        end = int(ends[min(np.searchsorted(ends, at + PART), 511)])
+        end = end if end > at else len(gram)
+        own = order[at:end]
+        out[own] = code_lengths(gram[own], n[own], one, zero, two)
+        at = end
+    return out
+
+
+def code_lengths(gram: np.ndarray, n: np.ndarray, one: np.ndarray, zero: np.ndarray, two: np.ndarray | None = None) -> np.ndarray:
+    """log10 probabilities of grams below one two-symbol context.
 
     ``n`` are training counts, ``one`` the counts of symbols after the last symbol of
-    the context, ``zero`` those of all symbols; both have 512 places.
+    the context, ``zero`` those of all symbols, ``two`` those after the context itself
+    (of the given grams where it is not given); all have 512 places.
     """
     s = gram & 511
     levels = []  # per order: count of the symbol, context total, distinct, count left below by its symbols
@@ -106,7 +128,7 @@ def code_lengths(gram: np.ndarray, n: np.ndarray, one: np.ndarray, zero: np.ndar
     n3 = np.bincount(i3, n, len(key3))
     c3, j3 = np.unique(key3 >> 9, return_inverse=True)
     at3 = j3[i3]
-    n2 = np.bincount(s, n, 512)
+    n2 = np.bincount(s, n, 512) if two is None else two
     seen, seen3 = n > 0, n3 > 0
     s3 = key3 & 511
     levels.append((n, np.bincount(i4, n)[i4], np.bincount(i4, seen)[i4], np.bincount(i4, n3[i3] * seen)[i4]))
@@ -145,7 +167,7 @@ def _gram_model(grams: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
         one = low[(int(gram[0]) >> 9) & 511]
-        return pa.table({"gram": pa.array(gram), "value": pa.array(code_lengths(gram, n, one, zero))})
+        return pa.table({"gram": pa.array(gram), "value": pa.array(subtree(gram, n, one, zero))})
 
     context = F.shiftright("gram", 9).bitwiseAND(F.lit((1 << 18) - 1)).alias("context")
     return grams.select("gram", "n", context).groupBy("context").applyInArrow(run, "gram long, value double")
