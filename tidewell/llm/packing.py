@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.text import CACHES
+from tidewell.llm.text import CACHES, release_memory
 from tidewell.plans.scratch import materialize
 
 #: Documents of a packing group; cached chunks of a worker and their characters.
@@ -43,11 +43,11 @@ CACHES.append(_ENCODERS)
 class Encoder:
     """Token ids as little-endian 32-bit bytes, by cached chunks."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task owns one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunks = Tokenizer.from_file(path), {}
+        self.tokenizer, self.chunks, self.cache = Tokenizer.from_file(path), {}, cache
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode_whole(self, text: str) -> np.ndarray:
@@ -72,15 +72,16 @@ class Encoder:
             return b"".join(map(known.__getitem__, parts))
         fresh = dict(zip(new, self._encode_chunks(new), strict=True))
         ids = b"".join([known[x] if x in known else fresh[x] for x in parts])
-        if len(known) > CACHE:
+        if len(known) > self.cache:
             known.clear()
         known.update((x, i) for x, i in fresh.items() if len(x) <= CACHED_CHARS)
         return ids
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].cache = cache
     return _ENCODERS[path]
 
 
@@ -131,14 +132,15 @@ def best_fit(lengths: list[int], limit: int) -> list[tuple[int, int]]:
     return placed
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, limit: int, id_col: str, text: str) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, limit: int, id_col: str, text: str, cache: int = CACHE) -> DataFrame:
     """(doc_id, slot, start, length, ids_crc32, doc_tokens); ``slot`` spreads documents evenly."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        release_memory()
+        task, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, cache)
         for batch in batches:
             index, rows, slots, sizes = [], [], [], []
             for k, t in enumerate(batch.column(1)):
@@ -158,12 +160,13 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, limit: int, id_col: str, t
     return narrow.mapInArrow(run, f"doc_id {kind}, slot long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece.
 
+    ``cache`` chunks are kept in each worker: fewer take less memory and more time.
     ``sequence_id`` is the packing group (high 32 bits) and the sequence in it.
     """
-    pieces = materialize(tokenised_pieces(docs, tokenizer, limit, id_col, text), "pieces")
+    pieces = materialize(tokenised_pieces(docs, tokenizer, limit, id_col, text, cache), "pieces")
     groups = max(1, -(-pieces.where("start = 0").count() // GROUP))
     kind = pieces.schema["doc_id"].dataType.simpleString()
 

@@ -8,6 +8,9 @@ A-Z were lower-cased (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``).
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 #: Byte table: A-Z to a-z, every other ASCII character outside [0-9a-z] to a space.
@@ -22,8 +25,18 @@ CACHES: list[dict] = []
 
 def drop_caches() -> None:
     """Free what another operator's tasks left in this worker."""
-    for cache in CACHES:
-        cache.clear()
+    if any(CACHES):
+        for cache in CACHES:
+            cache.clear()
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give what a task has freed back to the machine; executors count their workers' memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
