@@ -264,10 +264,13 @@ def test_the_automaton_decides(spark, monkeypatch):
     assert found.starts(b"a b c d e f g unknown".split()) == []
     run = substring._locate(20)
     text = words(5, 25)
-    docs = pa.table({"row_key": pa.array([b"k", b"l"]), "text": [text, text]})
-    bases = [(b"k", 0), (b"l", 100)]
-    for phrases, runs in (([], 0), ([b"p q r s t u v w"], 0), ([" ".join(text.split()[k : k + 8]).encode() for k in range(18)], 2)):
-        known = pa.table({"key": pa.array([k for k, _ in bases] + phrases, pa.binary()), "base": pa.array([b for _, b in bases] + [None] * len(phrases), pa.int64())})
+    docs = pa.table({"row_key": pa.array([b"k", b"l"]), "row": [5, 6], "text": [text, text]})
+    bases = [(b"k", 0, None, None), (b"l", 100, None, None)]
+    kinds = [("key", pa.binary()), ("base", pa.int64()), ("row", pa.int64()), ("pos", pa.int32())]
+    # no places, a place of another text, and places in the first text only: the other's are located
+    for places, runs in (([], 0), ([(7, 0)], 0), ([(5, p) for p in range(18)], 2)):
+        rows = bases + [(None, None, r, p) for r, p in places]
+        known = pa.table({c: pa.array([x[k] for x in rows], t) for k, (c, t) in enumerate(kinds)})
         got = run(docs, known)
         assert len(set(got.column("row_key").to_pylist())) == runs
         assert got.num_rows == 0 or sum(got.column("n").to_pylist()) == 12

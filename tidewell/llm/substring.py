@@ -4,13 +4,14 @@ A *window* is ``window`` consecutive plain words.  Every window owns an anchor,
 the ``ANCHOR``-word phrase in it with the least hash (leftmost on ties), so two
 windows of equal words own equal anchors.
 
-1. Anchors are counted by their words over the whole corpus; those found twice are
-   the recurring phrases, and each shard of documents gets the words of those it holds.
+1. Anchors are counted over the whole corpus by a digest of their words; those found
+   twice are the recurring phrases, and each shard of documents learns one place of each
+   that it holds.
 2. Documents are put in order (id, then the row's digest), and running sums of their
    bytes give each a base: base plus word position is a *place*, one long.
-3. Per shard, an Aho-Corasick automaton over words is compiled from its recurring
-   phrases and all its documents are streamed through it.  Windows whose anchor was
-   matched are candidates; neighbours that share an anchor travel as one run (digest
+3. Per shard, an Aho-Corasick automaton over words is compiled from the words at those
+   places and all documents of the shard are streamed through it, which locates every
+   occurrence.  Windows whose anchor was matched are candidates; neighbours that share an anchor travel as one run (digest
    of its words, place, digests of its windows).
 4. Runs are aggregated to their first place, then the windows of distinct runs to
    theirs.  Later places of a run go whole; at its first place those windows go that
@@ -18,8 +19,9 @@ windows of equal words own equal anchors.
 
 A shard is some ``SHARD_BYTES`` of text (or one longer document), and so bounds its
 automaton; hot phrases are sums and minima, never collected groups.  The 64-bit word
-hashes only choose anchors: phrases are compared by their words, runs and windows by
-128-bit BLAKE2b digests of theirs, rows by the MD5 of id and text.
+hashes only choose anchors.  Anchors are counted by 64-bit BLAKE2b digests and matched by
+their words; runs and windows are compared by 128-bit BLAKE2b digests of their words, rows
+by the MD5 of id and text.
 
 Defined cases: null and empty texts hold no words; documents below ``window`` words
 lose nothing; a null id sorts before all others; rows that repeat id and text are
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -42,12 +45,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.text import drop_caches, plain_words, row_key
+from tidewell.llm.text import drop_caches, plain_words, release_memory, row_key
 from tidewell.plans.scratch import broadcast_if_small, discard, materialize
 
 ANCHOR, SHARD_BYTES, BLOCK = 8, 4 << 20, 1 << 16
-#: Phrases of an Arrow batch.
-BATCH = 100_000
 #: A place is a document's base plus a word's position: bases within a range
 #: partition add up text bytes, and the partition's number stands above these bits.
 PART_BITS = 40
@@ -120,26 +121,23 @@ def _ends(sizes: np.ndarray) -> np.ndarray:
 
 
 def _emit_anchors(window: int):
-    """(shard, text) to (shard, phrase): the anchor phrases of each text by their words."""
+    """(shard, row, text) to (shard, anchor, row, pos): digest and place of each text's anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches()
-        shards, phrases = [], []
         for batch in batches:
-            for shard, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+            found = []
+            for shard, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
                 data = text.as_py() or b""
                 h, sizes = word_hashes(data)
                 if len(h) < window:
                     continue
                 own = np.flatnonzero(np.bincount(anchors(h, window)[1]))
                 joined, at = b" ".join(data.split()), _ends(sizes)
-                phrases += [joined[a:b] for a, b in zip(at[own].tolist(), (at[own + ANCHOR] - 1).tolist(), strict=True)]
-                shards.append(np.full(len(own), shard.as_py(), np.int32))
-                if len(phrases) > BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(phrases, pa.binary())], ["shard", "phrase"])
-                    shards, phrases = [], []
-        if phrases:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(phrases, pa.binary())], ["shard", "phrase"])
+                digests = b"".join([_digest(joined[a:b], 8) for a, b in zip(at[own].tolist(), (at[own + ANCHOR] - 1).tolist(), strict=True)])
+                found.append((np.full(len(own), shard, np.int32), np.frombuffer(digests, np.int64), np.full(len(own), row, np.int64), own.astype(np.int32)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["shard", "anchor", "row", "pos"])
 
     return run
 
@@ -178,28 +176,36 @@ class Phrases:
         return [end // 2 - ANCHOR + 1 for end, _ in self.automaton.iter(_symbols(ids))]
 
 
-def _digest(words: bytes) -> bytes:
-    return hashlib.blake2b(words, digest_size=16).digest()
+def _digest(words: bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(words, digest_size=size).digest()
 
 
 def _locate(window: int):
-    """Cogrouped (documents, recurring phrases and bases) of one shard to runs of candidate windows."""
+    """Cogrouped (documents, places of recurring phrases and bases) of one shard to runs of candidate windows."""
     kinds = pa.schema([("run", pa.binary()), ("row_key", pa.binary()), ("place", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("windows", pa.list_(pa.binary()))])
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         based = known.column("base").is_valid()
         bases = dict(zip(*(known.filter(based).column(c).to_pylist() for c in ("key", "base")), strict=True))
-        phrases = known.filter(pc.invert(based)).column("key").to_pylist()
-        out, windows, seen = {c: [] for c in kinds.names[:-1]}, [], set()
+        places = defaultdict(list)
+        for row, pos in zip(*(known.filter(pc.invert(based)).column(c).to_pylist() for c in ("row", "pos")), strict=True):
+            places[row].append(pos)
+        if not places:
+            return kinds.empty_table()
+        texts, split, phrases = docs.column("text").cast(pa.binary()), [], set()
+        for row, text in zip(docs.column("row").to_pylist(), texts, strict=True):
+            split.append((text.as_py() or b"").split())
+            phrases.update(b" ".join(split[-1][p : p + ANCHOR]) for p in places.get(row, ()) if p + ANCHOR <= len(split[-1]))
         if not phrases:
             return kinds.empty_table()
-        found, texts = Phrases(phrases), docs.column("text").cast(pa.binary())
+        out, windows, seen = {c: [] for c in kinds.names[:-1]}, [], set()
+        found = Phrases(sorted(phrases))
         for base, key, k in sorted((bases[key], key, k) for k, key in enumerate(docs.column("row_key").to_pylist())):
-            data = texts[k].as_py() or b""
-            words = data.split()
+            words = split[k]
             starts = found.starts(words) if len(words) >= window else []
             if not starts:
                 continue
+            data = texts[k].as_py()
             h, sizes = word_hashes(data)
             located, at = np.zeros(len(h), bool), anchors(h, window)[1]
             located[starts] = True
@@ -218,7 +224,10 @@ def _locate(window: int):
                 windows.append(fresh)
                 for c, x in zip(out, (digest, key, base + i, i, j - i + 1), strict=True):
                     out[c].append(x)
-        return pa.table([pa.array(x, kinds.field(c).type) for c, x in (out | {"windows": windows}).items()], schema=kinds)
+        made = pa.table([pa.array(x, kinds.field(c).type) for c, x in (out | {"windows": windows}).items()], schema=kinds)
+        del found, out, windows, seen, split
+        release_memory()
+        return made
 
     return run
 
@@ -237,17 +246,20 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
     ordered = sizes.repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
     bases = ordered.select("row_key", F.spark_partition_id().alias("part"), "n").mapInArrow(_bases, "row_key binary, base long")
     bases = materialize(bases, "bases")
-    narrow = narrow.select("row_key", "text")
+    narrow = narrow.select("row_key", F.xxhash64("row_key").alias("row"), "text")
     if (most or 0) > 1:  # merge the repeats
         repeats = broadcast_if_small(sizes.where("times > 1").select("row_key"))
-        once = narrow.join(repeats, "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
+        once = narrow.join(repeats, "row_key", "left_semi").groupBy("row_key", "row").agg(F.first("text").alias("text"))
         narrow = narrow.join(repeats, "row_key", "left_anti").union(once)
-    sharded = narrow.select(shard, "row_key", "text")
-    emitted = sharded.select("shard", "text").mapInArrow(_emit_anchors(window), "shard int, phrase binary")
-    counted = materialize(emitted.groupBy("shard", "phrase").agg(F.count(F.lit(1)).alias("n")), "anchors")
-    recurring = counted.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
-    recurring = counted.join(recurring.hint("shuffle_hash"), "phrase", "left_semi").select("shard", F.col("phrase").alias("key"), F.lit(None).cast("long").alias("base"))
-    known = materialize(recurring.union(bases.select(shard, F.col("row_key").alias("key"), "base")), "recurring")
+    sharded = narrow.select(shard, "row_key", "row", "text")
+    emitted = sharded.select("shard", "row", "text").mapInArrow(_emit_anchors(window), "shard int, anchor long, row long, pos int")
+    counted = emitted.groupBy("shard", "anchor").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos"))
+    counted = materialize(counted, "anchors")
+    recurring = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    recurring = counted.select("shard", "anchor", "row", "pos").join(recurring.hint("shuffle_hash"), "anchor", "left_semi")
+    recurring = recurring.select("shard", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("base"), "row", "pos")
+    bases_of = bases.select(shard, F.col("row_key").alias("key"), "base", F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("pos"))
+    known = materialize(recurring.union(bases_of), "recurring")
     discard(counted, bases)
     schema = "run binary, row_key binary, place long, start int, n int, windows array<binary>"
     runs = materialize(sharded.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_locate(window), schema), "runs")
