@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.functions import html, text
-from tidewell.operators import ingest, migrate, prompts, shelf
+from tidewell.operators import ingest, migrate, prompts, render, shelf
 from tidewell.plans.scratch import materialize
 from tidewell.sources import driver, feedfiles
 from tidewell.sources.star import Star
@@ -294,6 +294,59 @@ def feed_intervals(s: Star, spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.fetch_intervals(s.replace(feeds=s["feeds"].select("id", "url").union(empty)), NOW)
 
 
+# --- lines -------------------------------------------------------------------
+
+_HALF_STEPS = "round(interest_score * 2) / 2"
+
+
+def _scored(s: Star) -> DataFrame:
+    """Scored articles with half-step scores, which every format rounds alike."""
+    state = s["read_state"].where("ai_scored").select("user_id", F.col("article_id").alias("id"), F.expr(_HALF_STEPS).alias("score"), "security_score")
+    return state.join(s["articles"].select("id", "title", "url", "summary"), "id")
+
+
+@query("article_lines", "SELECT id, 'id=' || id || chr(9) || 'title=' || title || chr(9) || 'url=' || url || chr(9) || 'published=' || coalesce(strftime(published_date, '%Y-%m-%dT%H:%M:%SZ'), '') AS line FROM articles")
+def article_lines(s: Star, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.article_lines(s["articles"])
+
+
+@query(
+    "group_lines",
+    ", m AS (SELECT group_id, topic, a.id AS id, title, url, (a.id % 9)::DOUBLE AS score FROM article_group_members JOIN article_groups g ON g.id = group_id JOIN articles a ON a.id = article_id) "
+    "SELECT group_id, 0 AS place, 'topic=' || topic || chr(9) || 'count=' || count(*) || chr(9) || 'max_score=' || printf('%.1f', max(score)) AS line FROM m GROUP BY group_id, topic "
+    "UNION ALL SELECT group_id, (row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id DESC))::INT, '  id=' || id || chr(9) || 'title=' || title || chr(9) || 'url=' || url || chr(9) || 'score=' || printf('%.1f', score) FROM m",
+)
+def group_lines(s: Star, spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = s["article_groups"].select(F.col("id").alias("group_id"), "topic")
+    members = s["article_group_members"].select("group_id", F.col("article_id").alias("id")).join(heads, "group_id").join(s["articles"].select("id", "title", "url"), "id")
+    return render.group_lines(members.withColumn("score", (F.col("id") % 9).cast("double")))
+
+
+_SCORED = f", x AS (SELECT user_id, id, {_HALF_STEPS} AS score, security_score, title, url, summary FROM state JOIN articles USING (id) WHERE ai_scored) "
+
+
+@query("notification_lines", _SCORED + "SELECT user_id, id, 'notification' || chr(9) || 'id=' || id || chr(9) || 'score=' || printf('%.1f', score) || chr(9) || 'title=' || title || chr(9) || 'url=' || url AS line FROM x WHERE score >= 8")
+def notification_lines(s: Star, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.notification_lines(_scored(s).where("score >= 8"))
+
+
+@query(
+    "status_lines",
+    _SCORED + "SELECT user_id, id, 'event=article_' || CASE WHEN security_score >= 7 THEN 'processed' ELSE 'unsafe' END || chr(9) || 'id=' || id || chr(9) || 'interest=' || printf('%.1f', score) || chr(9) || 'security=' || printf('%.1f', security_score) || chr(9) || 'title=' || title AS line FROM x",
+)
+def status_lines(s: Star, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.status_lines(_scored(s).withColumnRenamed("score", "interest_score"))
+
+
+@query(
+    "interest_digest",
+    _SCORED + ", y AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id DESC) AS i FROM x WHERE score >= 8) "
+    "SELECT user_id, 'Found ' || max(n) || ' high-interest article(s):' || chr(10) || chr(10) || string_agg('- [' || title || '](' || url || ')' || chr(10), '' ORDER BY i) AS text FROM y WHERE i <= 5 GROUP BY 1",
+)
+def interest_digest(s: Star, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.digest(_scored(s).where("score >= 8").withColumn("summary", F.lit("")), 5)
+
+
 # --- migration ---------------------------------------------------------------
 
 @query("migrated_articles", "SELECT url, title FROM articles WHERE feed_id < 10 OR id % 2 = 0")

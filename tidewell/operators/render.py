@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import udtf
 
+from tidewell.functions.text import rfc3339, truncate
+
 
 def briefing(rows: DataFrame, top: int = 20) -> DataFrame:
     """(user_id, n_articles, briefing): the best articles as markdown headings."""
@@ -47,3 +49,45 @@ class Outlines:
             url = node.get("xmlUrl")
             if url:
                 yield node.get("title") or node.get("text") or url, url
+
+
+# --- lines for consoles and mails: one row a line, so that no list passes one group -----------
+
+
+def article_lines(rows: DataFrame) -> DataFrame:
+    """(id, line) of articles (id, title, url, published_date)."""
+    line = F.format_string("id=%d\ttitle=%s\turl=%s\tpublished=%s", "id", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit("")), rfc3339(F.col("published_date")))
+    return rows.select("id", line.alias("line"))
+
+
+def group_lines(members: DataFrame) -> DataFrame:
+    """(group_id, place, line) of members (group_id, topic, id, title, url, score): a heading at place 0, then by score."""
+    head = members.groupBy("group_id", "topic").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    heads = head.select("group_id", F.lit(0).alias("place"), F.format_string("topic=%s\tcount=%d\tmax_score=%.1f", "topic", "n", "best").alias("line"))
+    order = Window.partitionBy("group_id").orderBy(F.desc("score"), F.desc("id"))
+    line = F.format_string("  id=%d\ttitle=%s\turl=%s\tscore=%.1f", "id", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit("")), "score")
+    return heads.unionByName(members.select("group_id", F.row_number().over(order).alias("place"), line.alias("line")))
+
+
+def notification_lines(rows: DataFrame) -> DataFrame:
+    """(user_id, id, line) of high-interest articles (user_id, id, score, title, url)."""
+    return rows.select("user_id", "id", F.format_string("notification\tid=%d\tscore=%.1f\ttitle=%s\turl=%s", "id", "score", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))).alias("line"))
+
+
+def status_lines(rows: DataFrame, safe: float = 7.0) -> DataFrame:
+    """(user_id, id, line) of scored articles (user_id, id, title, interest_score, security_score)."""
+    status = F.when(F.col("security_score") >= safe, "processed").otherwise("unsafe")
+    line = F.format_string("event=article_%s\tid=%d\tinterest=%.1f\tsecurity=%.1f\ttitle=%s", status, "id", "interest_score", "security_score", F.coalesce("title", F.lit("")))
+    return rows.select("user_id", "id", line.alias("line"))
+
+
+def digest(rows: DataFrame, top: int = 20) -> DataFrame:
+    """(user_id, text): a user's best articles (user_id, id, score, title, url, summary) as a markdown list; the heading counts all."""
+    best = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("id"))
+    n = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    summary = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("  "), truncate(F.col("summary"), 200), F.lit("\n\n"))).otherwise("")
+    cut = rows.withColumn("i", F.row_number().over(best)).where(F.col("i") <= top)
+    lines = cut.select("user_id", "i", F.concat(F.format_string("- [%s](%s)\n", "title", "url"), summary).alias("line"))
+    body = lines.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
+    head = F.format_string("Found %d high-interest article(s):\n\n", "n")
+    return body.join(n, "user_id").select("user_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "")).alias("text"))
