@@ -272,7 +272,7 @@ def test_the_automaton_decides(spark, monkeypatch):
         rows = bases + [(None, None, r, p) for r, p in places]
         known = pa.table({c: pa.array([x[k] for x in rows], t) for k, (c, t) in enumerate(kinds)})
         got = run(docs, known)
-        assert len(set(got.column("row_key").to_pylist())) == runs
+        assert len(set(got.column("base").to_pylist())) == runs
         assert got.num_rows == 0 or sum(got.column("n").to_pylist()) == 12
 
 

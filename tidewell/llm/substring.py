@@ -20,8 +20,9 @@ windows of equal words own equal anchors.
 A shard is some ``SHARD_BYTES`` of text (or one longer document), and so bounds its
 automaton; hot phrases are sums and minima, never collected groups.  The 64-bit word
 hashes only choose anchors.  Anchors are counted by 64-bit BLAKE2b digests and matched by
-their words; runs and windows are compared by 128-bit BLAKE2b digests of their words, rows
-by the MD5 of id and text.
+their words; runs and windows are compared by 96-bit BLAKE2b digests of their words (among
+10 ** 13 windows, 100 TB or so, the chance that any two of different words meet is about
+one in a thousand), rows by the MD5 of id and text.
 
 Defined cases: null and empty texts hold no words; documents below ``window`` words
 lose nothing; a null id sorts before all others; rows that repeat id and text are
@@ -57,6 +58,7 @@ _PARTS = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _BASE = 0xBF58476D1CE4E5B9
 _POWERS, _INVERSES = (np.multiply.accumulate(np.full(BLOCK, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_TO_SPACE = bytes(0x20 if _SPACE[b] else b for b in range(256))
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +122,12 @@ def _ends(sizes: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(sizes + 1)]
 
 
+def _joined(data: bytes) -> bytes:
+    """The words joined by one space."""
+    spaced = data.translate(_TO_SPACE)
+    return b" ".join(data.split()) if b"  " in spaced or spaced[:1] == b" " or spaced[-1:] == b" " else spaced
+
+
 def _emit_anchors(window: int):
     """(shard, row, text) to (shard, anchor, row, pos): digest and place of each text's anchors."""
 
@@ -133,8 +141,8 @@ def _emit_anchors(window: int):
                 if len(h) < window:
                     continue
                 own = np.flatnonzero(np.bincount(anchors(h, window)[1]))
-                joined, at = b" ".join(data.split()), _ends(sizes)
-                digests = b"".join([_digest(joined[a:b], 8) for a, b in zip(at[own].tolist(), (at[own + ANCHOR] - 1).tolist(), strict=True)])
+                joined, at, digest = _joined(data), _ends(sizes), hashlib.blake2b
+                digests = b"".join([digest(joined[a:b], digest_size=8).digest() for a, b in zip(at[own].tolist(), (at[own + ANCHOR] - 1).tolist(), strict=True)])
                 found.append((np.full(len(own), shard, np.int32), np.frombuffer(digests, np.int64), np.full(len(own), row, np.int64), own.astype(np.int32)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["shard", "anchor", "row", "pos"])
@@ -176,13 +184,9 @@ class Phrases:
         return [end // 2 - ANCHOR + 1 for end, _ in self.automaton.iter(_symbols(ids))]
 
 
-def _digest(words: bytes, size: int = 16) -> bytes:
-    return hashlib.blake2b(words, digest_size=size).digest()
-
-
 def _locate(window: int):
     """Cogrouped (documents, places of recurring phrases and bases) of one shard to runs of candidate windows."""
-    kinds = pa.schema([("run", pa.binary()), ("row_key", pa.binary()), ("place", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("windows", pa.list_(pa.binary()))])
+    kinds = pa.schema([("run", pa.binary()), ("base", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("windows", pa.list_(pa.binary()))])
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         based = known.column("base").is_valid()
@@ -198,9 +202,9 @@ def _locate(window: int):
             phrases.update(b" ".join(split[-1][p : p + ANCHOR]) for p in places.get(row, ()) if p + ANCHOR <= len(split[-1]))
         if not phrases:
             return kinds.empty_table()
-        out, windows, seen = {c: [] for c in kinds.names[:-1]}, [], set()
+        out, seen, digest = [], set(), hashlib.blake2b
         found = Phrases(sorted(phrases))
-        for base, key, k in sorted((bases[key], key, k) for k, key in enumerate(docs.column("row_key").to_pylist())):
+        for base, k in sorted((bases[key], k) for k, key in enumerate(docs.column("row_key").to_pylist())):
             words = split[k]
             starts = found.starts(words) if len(words) >= window else []
             if not starts:
@@ -216,16 +220,14 @@ def _locate(window: int):
             first = np.flatnonzero(np.r_[True, np.diff(at[cand]) != 0])
             last = np.r_[first[1:], len(cand)] - 1
             for i, j in zip(cand[first].tolist(), cand[last].tolist(), strict=True):
-                digest = _digest(joined[ends[i] : ends[j + window] - 1])
-                fresh = None
-                if digest not in seen:
-                    seen.add(digest)
-                    fresh = [_digest(joined[ends[x] : ends[x + window] - 1]) for x in range(i, j + 1)]
-                windows.append(fresh)
-                for c, x in zip(out, (digest, key, base + i, i, j - i + 1), strict=True):
-                    out[c].append(x)
-        made = pa.table([pa.array(x, kinds.field(c).type) for c, x in (out | {"windows": windows}).items()], schema=kinds)
-        del found, out, windows, seen, split
+                run_digest, fresh = digest(joined[ends[i] : ends[j + window] - 1], digest_size=12).digest(), None
+                if run_digest not in seen:
+                    seen.add(run_digest)
+                    fresh = [digest(joined[a : b - 1], digest_size=12).digest() for a, b in zip(ends[i : j + 1], ends[i + window : j + window + 1], strict=True)]
+                out.append((run_digest, base, i, j - i + 1, fresh))
+        columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+        made = pa.table([pa.array(x, f.type) for x, f in zip(columns, kinds, strict=True)], schema=kinds)
+        del found, out, seen, split, columns
         release_memory()
         return made
 
@@ -260,13 +262,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
     recurring = recurring.select("shard", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("base"), "row", "pos")
     bases_of = bases.select(shard, F.col("row_key").alias("key"), "base", F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("pos"))
     known = materialize(recurring.union(bases_of), "recurring")
-    discard(counted, bases)
-    schema = "run binary, row_key binary, place long, start int, n int, windows array<binary>"
+    discard(counted)
+    schema = "run binary, base long, start int, n int, windows array<binary>"
     runs = materialize(sharded.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_locate(window), schema), "runs")
     discard(known, sizes)
     # Within its shard the first place of a run carries the windows, so the first of all does.
-    firsts = materialize(runs.groupBy("run").agg(F.min("place").alias("p"), F.count(F.lit(1)).alias("times")), "firsts")
-    carried = runs.where("windows IS NOT NULL").select("run", "place", "windows").join(firsts.select("p").hint("shuffle_hash"), F.col("place") == F.col("p"))
+    place = (F.col("base") + F.col("start")).alias("place")
+    firsts = materialize(runs.groupBy("run").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("times")), "firsts")
+    carried = runs.where("windows IS NOT NULL").select("run", place, "windows").join(firsts.select("p").hint("shuffle_hash"), F.col("place") == F.col("p"))
     wins = carried.select("run", "p", F.posexplode("windows").alias("i", "win"))
     wins = materialize(wins.select("run", "i", "win", (F.col("p") + F.col("i")).alias("at")), "windows")
     earliest = wins.groupBy("win").agg(F.min("at").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("win", "f")
@@ -275,10 +278,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
     marks = materialize(marks, "marks")
     discard(wins, firsts)
     here = F.transform("late", lambda i: F.struct((F.col("start") + i).alias("a"), F.lit(1).alias("n")))
-    spans = F.when(F.col("place") == F.col("p"), here).otherwise(F.array(F.struct(F.col("start").alias("a"), F.col("n"))))
-    lost = runs.drop("windows").join(marks, "run").select("row_key", spans.alias("spans")).where("spans IS NOT NULL")
-    lost = materialize(lost.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "removals")
-    discard(runs, marks)
+    spans = F.when(place == F.col("p"), here).otherwise(F.array(F.struct(F.col("start").alias("a"), F.col("n"))))
+    lost = runs.drop("windows").join(marks, "run").select("base", spans.alias("spans")).where("spans IS NOT NULL")
+    lost = lost.groupBy("base").agg(F.flatten(F.collect_list("spans")).alias("spans")).join(bases, "base").select("row_key", "spans")
+    lost = materialize(lost, "removals")
+    discard(runs, marks, bases)
     return lost
 
 
