@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidewell.llm import chat, decontam, html_main, licenses, lm, packing, quality, sharding, simhash, substring
+from tidewell.llm import audit, chat, decontam, html_main, licenses, lm, packing, quality, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,6 +195,45 @@ FROM n GROUP BY 1
 """
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.replay(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("filter")
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM w GROUP BY 1),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         map(['A', 'B', 'C', 'D', 'E'], [
+           len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+           100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+           regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)]) AS fails
+  FROM w LEFT JOIN firsts USING (t) LEFT JOIN l USING (doc_id)),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+r AS (
+  SELECT part, good, toxic, fails, filter_order,
+         coalesce(list_position(list_transform(range(1, 6), lambda s: fails[filter_order[s]]), true), 6) AS first,
+         unnest(range(1, 6)) AS step
+  FROM f, o),
+c AS (
+  SELECT part, filter_order, step::INT AS step, filter_order[step] AS f,
+         count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+         count(*) FILTER (fails[filter_order[step]] AND first < step) AS redundant,
+         count(*) FILTER (fails[filter_order[step]] AND len(list_filter(map_values(fails), lambda v: v)) = 1) AS unique_fails,
+         count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+  FROM r GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -207,9 +246,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_packing": op9_packing,
         "op10_chat_format": op10_chat_format,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_sharding": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_sharding": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL, "op13_filter_audit": OP13_SQL}

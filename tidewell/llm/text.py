@@ -62,6 +62,11 @@ def letter_words_col(text: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+def plain_words_col(text: Column) -> Column:
+    """Array of plain words of a string column; null gives an empty array."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
 def row_key(id_col: str, text: str) -> Column:
     """MD5 of a row's id and text, which tells rows apart; null texts are empty."""
     row_id = F.coalesce(F.col(id_col).cast("string"), F.lit("\x01"))
