@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidewell.llm import audit, chat, decontam, html_main, licenses, lm, packing, quality, sharding, simhash, substring
+from tidewell.llm import audit, chat, decontam, html_main, licenses, lm, packing, quality, sharding, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,6 +195,22 @@ FROM n GROUP BY 1
 """
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+    ids = [F.col(c).cast("long").alias(n) for c, n in (("record_id", "page_id"), ("refers_to", "refers_to"))]
+    return back.where("record_type IN ('response', 'revisit')").select(ids[0], "payload_bytes", "payload_digest", "record_type", ids[1])
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT html, max(page_id) AS largest FROM p WHERE strlen(html) >= 1000 GROUP BY 1)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < largest THEN largest END AS refers_to
+FROM p LEFT JOIN m USING (html)
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.replay(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("filter")
 
@@ -246,10 +262,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_packing": op9_packing,
         "op10_chat_format": op10_chat_format,
+        "op11_warc": op11_warc,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_sharding": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_sharding": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL, "op11_warc": OP11_SQL, "op13_filter_audit": OP13_SQL}
