@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidewell.llm import audit, chat, decontam, html_main, licenses, lm, packing, quality, sharding, simhash, substring, warc
+from tidewell.llm import align, audit, chat, decontam, html_main, licenses, lm, packing, quality, sharding, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -211,6 +211,13 @@ FROM p LEFT JOIN m USING (html)
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align.align(_table(spark, sf_dir, "documents"), *paths)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.replay(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("filter")
 
@@ -263,6 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_chat_format": op10_chat_format,
         "op11_warc": op11_warc,
+        "op12_token_alignment": op12_token_alignment,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
