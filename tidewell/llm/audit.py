@@ -28,7 +28,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.text import UPPER, plain_words_col
-from tidewell.plans.scratch import discard, materialize
+from tidewell.plans.scratch import broadcast_if_small, discard, materialize
 
 FILTERS = "ABCDE"
 #: Rows that one task crosses with the orders at most, but for the accidents of sampling.
@@ -58,7 +58,9 @@ def own_failures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
 def failure_masks(known: DataFrame, labels: DataFrame) -> DataFrame:
     """``own_failures`` with E and labels joined: (part, spread, mask, good, toxic) per document."""
     repeated = known.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = known.join(repeated.select("digest", "first"), "digest", "left")
+    # Written first, so that both sides of the join are dealt anew and a hot text can be split.
+    repeated = broadcast_if_small(materialize(repeated.select("digest", "first"), "repeated"))
+    marked = known.join(repeated, "digest", "left")
     later = F.when(F.col("id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0)
     labelled = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
     labelled = labelled.agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
