@@ -161,6 +161,13 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_ties_sort_by_plain_texts(spark):
+    rows = [(0, "user", "<a"), (0, "user", "A"), (0, "user", "[b"), (0, "user", "\\c"), (1, "a<", "x"), (1, "aB", "y"), (1, "a", "z")]
+    turns = spark.createDataFrame([(1, *r) for r in rows], "conv_id long, turn long, role string, text string")
+    back = chat.read_chats(chat.format_chats(turns)).first()
+    assert [(t.role, t.text) for t in back.turns] == [r[1:] for r in sorted(rows)]
+
+
 def test_a_very_long_conversation(spark):
     """100,000 turns of one conversation, in blocks of one turn and in one block of all."""
     for alternating in (True, False):

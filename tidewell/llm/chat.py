@@ -57,9 +57,12 @@ def prefix_sums(sizes: Column) -> Column:
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, formatted, loss) per conversation."""
-    role_text = [escape(F.coalesce(F.col(c), F.lit(""))) for c in (role, text)]
-    one = F.struct(F.col(turn).alias("turn"), role_text[0].alias("role"), role_text[1].alias("text"))
-    packed = turns.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    plain = [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))]
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), *plain)))
+    packed = turns.groupBy(F.col(conv).alias("conv_id")).agg(ordered.alias("t"))
+    # Escaped after they are sorted: codes sort otherwise than what they stand for.
+    escaped = F.transform("t", lambda x: F.struct(x["turn"], *[escape(x[n]).alias(n) for n in ("role", "text")]))
+    packed = packed.select("conv_id", escaped.alias("t"))
     every, n = F.sequence(F.lit(0), F.size("t") - 1), F.size("t")
 
     def turn_at(i: Column) -> Column:
