@@ -225,6 +225,16 @@ def test_substring_dedup(odd, empty):
     assert substring.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("nothing", ["", None, " \n"])
+def test_substring_dedup_between_empty_texts(spark, nothing):
+    shared = words(41, 25)
+    items = [(0, nothing), (1, shared), (2, nothing), (3, nothing), (4, shared), (5, shared + " " + words(42, 9)), (6, nothing), (7, nothing)]
+    docs = spark.createDataFrame(rows_of(*[(d, t, "a") for d, t in items]), DOCS)
+    got = {r.row.doc_id: (r.n_words, r.n_removed) for r in substring.deduplicated(docs).collect()}
+    size = {d: len((t or "").split()) for d, t in items}
+    assert got == {d: (size[d], 25 if d in (4, 5) else 0) for d, _ in items}
+
+
 def test_substring_dedup_of_periodic_texts(spark):
     cycles = {k: [f"p{k}x{j}" for j in range(k)] for k in (1, 2, 5, 7, 12, 13, 19)}
     rows = [(k, " ".join((c * 60)[:n])) for k, c in cycles.items() for n in (20 + k, 57 + k)]

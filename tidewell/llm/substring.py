@@ -240,7 +240,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
     A span is the first window's start and the number of windows from there.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text).alias("row_key"), F.col(text).alias("text"))
-    sizes = narrow.select("doc_id", "row_key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    # One more than its bytes, so that no two documents share a base, however empty.
+    sizes = narrow.select("doc_id", "row_key", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n"))
     sizes = materialize(sizes.groupBy("doc_id", "row_key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("times")), "sizes")
     total, most = sizes.agg(F.sum("n"), F.max("times")).first()
     shards = (total or 0) // SHARD_BYTES + 1
