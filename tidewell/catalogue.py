@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell import catalogue_feeds, catalogue_star
+from tidewell import catalogue_feeds, catalogue_search, catalogue_star
 from tidewell.functions import text, vectors
 from tidewell.operators import reading, render, search, state, stats
 from tidewell.sources.tables import NOW, RULES, Tables
@@ -620,6 +620,6 @@ def stream_dedup_count(t: Tables) -> DataFrame:
     return ingest.run_once(stream, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-for _more in (catalogue_star, catalogue_feeds):
+for _more in (catalogue_star, catalogue_feeds, catalogue_search):
     QUERIES.update(_more.QUERIES)
     ORACLES.update(_more.ORACLES)
