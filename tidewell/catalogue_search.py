@@ -5,13 +5,15 @@ Queries are made from the words of every benchmark item and belong to user ``ite
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewell.catalogue_star import BASE
 from tidewell.functions.stem import stem_sql
-from tidewell.operators import fulltext
+from tidewell.operators import fulltext, segments
+from tidewell.plans.scratch import shared_dir
 from tidewell.sources.driver import driver_star
 from tidewell.sources.star import Star
 
@@ -127,6 +129,39 @@ def fts_prefix(s: Star, items: DataFrame) -> DataFrame:
     return _searched(s, _asked(items, F.substring(_w(1), 1, 4), "* AND ", _w(2)))
 
 
+def _changed(sql: str) -> str:
+    """The twin's articles after the changes of ``fts_after_changes``."""
+    fresh = "id + 1000000, feed_id, guid, summary, url, title, content, author, published_date, fetched_date, linked_url, linked_content, full_text_fetched, images_cached"
+    after = f"""articles AS (
+  SELECT * REPLACE (CASE WHEN id % 10 = 5 THEN 'new ' || title ELSE title END AS title, CASE WHEN id % 10 = 5 THEN '' ELSE content END AS content) FROM was WHERE id % 10 <> 3
+  UNION ALL SELECT {fresh} FROM was WHERE id % 20 = 0)"""
+    return sql.replace("articles AS (", "was AS (", 1).replace("user_feeds AS (", f"{after},\nuser_feeds AS (", 1)
+
+
+@query(
+    "fts_after_changes",
+    """,
+hits AS (SELECT query_id, 0 AS leaf, id, count(*) AS times FROM qs JOIN post USING (stem) WHERE k = 1 GROUP BY 1, 2, 3),
+good AS (SELECT query_id, id FROM hits)""" + _RANKED,
+)
+def fts_after_changes(s: Star, items: DataFrame) -> DataFrame:
+    """The index of all articles takes deletions, changes and new articles, and is searched then."""
+    was = s["articles"]
+    changed = was.where("id % 10 = 5").withColumns({"title": F.concat(F.lit("new "), "title"), "content": F.lit("")})
+    fresh = was.where("id % 20 = 0").select((F.col("id") + 1_000_000).alias("id"), F.col("summary").alias("title"), F.col("title").alias("summary"), "content", "linked_content", "feed_id")
+    index = segments.SegmentedIndex(s.spark, f"{shared_dir(s.spark)}/fts-{uuid.uuid4().hex}")
+    index.apply(was)
+    index.apply(was.where("id % 10 = 3").select("id", F.lit(True).alias("deleted")))
+    index.apply(changed)
+    index.apply(fresh)
+    now = was.where("id % 10 <> 3").select("id", "feed_id").union(fresh.select("id", "feed_id"))
+    found = fulltext.search(_asked(items, _w(1)), index.index(), now, s["user_feeds"], limit=None)
+    return found.select("query_id", "article_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+ORACLES["fts_after_changes"] = _changed(ORACLES["fts_after_changes"])
+
+
 @query(
     "fts_cover_density",
     """,

@@ -1,6 +1,7 @@
 """Full-text search: a positional inverted index, a query language over it, and ranking.
 
-*Index.*  One row per (term, article, field) with the positions of the term in the field.
+*Index.*  One row per (term, article, field) with the positions of the term in the field,
+and one per article with its size.
 Terms are stems; they are made in Arrow batches, article by article, so that building
 needs no shuffle but the one that deals rows to buckets of terms.  A bucket is a folder
 of the index: a search reads the buckets and row groups of its terms only.
@@ -37,6 +38,8 @@ WEIGHTS = {"title": 1.0, "summary": 0.4, "content": 0.2, "linked_content": 0.1}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Folders of an index; a bucket is read whole only where most of its terms are asked for.
 BUCKETS = 16
+#: The bucket of the rows that hold articles' sizes.
+SIZES = -1
 AND, OR, NOT = -1, -2, -3
 _POSTINGS = "term string, article_id long, field string, start int, size int, positions array<int>"
 _LEAVES = "query_id long, user_id long, program array<int>, leaves array<struct<terms: array<string>, prefix: boolean, first: boolean, fields: array<string>>>"
@@ -46,22 +49,21 @@ _LEAVES = "query_id long, user_id long, program array<int>, leaves array<struct<
 
 
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(article_id, fields...) to postings; an article without words has one row of a null term."""
+    """(article_id, fields...) to postings, and a row of a null term with each article's size."""
     names = [c.split()[0] for c in _POSTINGS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
     for batch in batches:
         rows: list[tuple] = []
         for article, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found = [terms(t) for t in texts]
-            size, start, before = sum(map(len, found)), 0, len(rows)
+            size, start = sum(map(len, found)), 0
+            rows.append((None, article, None, 0, size, []))
             for field, words in zip(FIELDS, found, strict=True):
                 at: dict[str, list[int]] = {}
                 for k, w in enumerate(words):
                     at.setdefault(w, []).append(k)
                 rows += [(w, article, field, start, size, p) for w, p in at.items()]
                 start += len(words)
-            if len(rows) == before:
-                rows.append((None, article, None, 0, 0, []))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
 
 
@@ -73,12 +75,12 @@ def postings_of(articles: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Postings of ``articles`` (id and the indexed fields), with their bucket."""
     texts = [(F.col(f) if f in articles.columns else F.lit(None)).cast("string").alias(f) for f in FIELDS]
     made = articles.where("id IS NOT NULL").select("id", *texts).mapInArrow(_invert, _POSTINGS)
-    return made.withColumn("bucket", F.coalesce(bucket_of(F.col("term"), buckets), F.lit(0)))
+    return made.withColumn("bucket", F.when(F.col("term").isNull(), SIZES).otherwise(bucket_of(F.col("term"), buckets)))
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """Buckets as folders, terms in order within a file; a bucket that outgrows the others is cut up."""
-    postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+def dealt(postings: DataFrame) -> DataFrame:
+    """Rows of a bucket together, terms in order; a bucket that outgrows the others is cut up."""
+    return postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
 
 
 class Index:
@@ -89,16 +91,15 @@ class Index:
 
     def sizes(self) -> DataFrame:
         """(n, average): articles, and their mean number of words."""
-        each = self.postings.groupBy("article_id").agg(F.max("size").alias("size"))
-        return each.agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("average"))
+        return self.postings.where(F.col("bucket") == SIZES).agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("average"))
 
     def vocabulary(self) -> DataFrame:
-        return self.postings.where("term IS NOT NULL").select("term").distinct()
+        return self.postings.where(F.col("bucket") != SIZES).select("term").distinct()
 
 
 def build(articles: DataFrame, buckets: int = BUCKETS, label: str = "index") -> Index:
     """The index of a table of articles, as a scratch table."""
-    return Index(materialize(postings_of(articles, buckets).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), label), buckets)
+    return Index(materialize(dealt(postings_of(articles, buckets)), label), buckets)
 
 
 # --- query language -----------------------------------------------------------------
