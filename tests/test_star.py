@@ -145,6 +145,44 @@ def test_newsletters_and_issues(spark, reader):
     assert shelf.due_newsletters(s, "2024-03-01 12:00:00").count() == 0
 
 
+def test_answers_are_written_once(spark, reader, tmp_path):
+    """Any number of actions on the result calls the model once for a newsletter, though its answers differ."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    @F.udf("string")
+    def answer(prompt):
+        import uuid
+
+        name = uuid.uuid4().hex
+        (calls / name).touch()
+        return f'{{"headline": "{name}", "body": "{name}"}}'
+
+    s = changes.create_newsletters(reader, spark.createDataFrame([(1, "L", "daily", None)], "user_id long, name string, schedule string, config_json string"), NOW)
+    s = changes.score(s, spark.createDataFrame([(1, 3, 9.0, 8.0, None)], "user_id long, article_id long, interest_score double, security_score double, security_reason string"))
+    s = prompts.write_issues(s, shelf.newsletters(s), lambda rows: rows.withColumn("response", answer.asNondeterministic()("prompt")), NOW)
+    rows = [shelf.issues(s).first() for _ in range(3)]
+    assert shelf.newsletters(s).count() == 1 and len({r.headline for r in rows}) == 1
+    assert [x.name for x in calls.iterdir()] == [rows[0].headline]
+
+
+def test_contradicting_requests_have_one_outcome(spark, reader):
+    key = "user_id long, article_id long"
+    s = changes.mark(reader, spark.createDataFrame([(1, 3, True, 1), (1, 3, False, 2), (1, 4, False, 1), (1, 4, True, 2)], f"{key}, read boolean, seq long"), NOW)
+    s = changes.retry(s, spark.createDataFrame([(1, 3)] * 2 + [(1, 9)] * 3, key))
+    s = changes.retry(s, spark.createDataFrame([(1, 3)], key))
+    assert {r.article_id: (r.read, r.ai_retries) for r in s["read_state"].collect()} == {3: (False, 3), 4: (True, 0), 9: (False, 3)}
+    tied = spark.createDataFrame([(1, k % 3, k % 2 == 0) for k in range(12)], f"{key}, starred boolean")
+    for n in (1, 3, 7):
+        starred = changes.star_marks(reader, tied.repartition(n))["read_state"]
+        assert {r.article_id: r.starred for r in starred.collect()} == {0: True, 1: True, 2: True}
+    scores = f"{key}, interest_score double, security_score double, security_reason string, seq long"
+    s = changes.score(reader, spark.createDataFrame([(1, 1, 1.0, 2.0, "b", 2), (1, 1, 9.0, 9.0, "z", 1)], scores))
+    assert [(r.interest_score, r.security_reason) for r in s["read_state"].collect()] == [(1.0, "b")]
+    added = changes.add_feeds(reader, spark.createDataFrame([("u9", "late", 2), ("u9", "early", 1), ("u1", "x", 1)], "url string, title string, seq long"), NOW)
+    assert [r.title for r in added["feeds"].where("url = 'u9'").collect()] == ["early"] and added["feeds"].count() == 3
+
+
 def test_prompts_are_filled_once(spark):
     df = spark.createDataFrame([("a {{.Title}} {{.Content}}", "{{.Content}}", "c")], "t string, x string, y string")
     assert df.select(prompts.rendered(F.col("t"), Title=F.col("x"), Content=F.col("y"))).first()[0] == "a {{.Content}} c"

@@ -6,11 +6,13 @@ from the tables before it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.operators import changes, shelf
+from tidewell.operators import changes, shelf, statelog
+from tidewell.plans.scratch import shared_dir
 from tidewell.sources import driver
 from tidewell.sources.star import Star
 
@@ -495,6 +497,41 @@ def mute_group(s: Star) -> DataFrame:
     return _shown(after).join(F.broadcast(muted))
 
 
+_LOGGED = """, asked AS (
+  SELECT user_id, event_id % 200 AS article_id, event_id AS seq, event_type AS kind, event_id % 7 < 3 AS flag, value, event_id % 3 AS batch FROM events),
+lasts AS (
+  SELECT user_id, article_id, arg_max(flag, (batch, seq)) FILTER (kind = 'view') AS read, arg_max(flag, (batch, seq)) FILTER (kind = 'click') AS starred,
+         arg_max(value, (batch, seq)) FILTER (kind = 'purchase') AS interest, max((batch, seq)) FILTER (kind = 'purchase') AS scored,
+         count(*) FILTER (kind = 'error') AS failed, bool_or(kind IN ('view', 'click', 'purchase', 'error')) AS known FROM asked GROUP BY 1, 2),
+second AS (SELECT user_id, article_id, arg_max(value, (batch, seq)) FILTER (kind = 'purchase') AS then_score FROM asked WHERE batch < 2 GROUP BY 1, 2),
+late AS (
+  SELECT user_id, article_id, count(*) FILTER (kind = 'error') AS failed, arg_max(value, seq) FILTER (kind = 'purchase') AS interest FROM asked WHERE batch = 2 GROUP BY 1, 2)
+SELECT user_id, article_id, coalesce(read, false) AS read, coalesce(starred, false) AS starred,
+       CASE WHEN reset THEN late_interest ELSE interest END AS interest_score, CASE WHEN reset THEN late_interest ELSE interest END IS NOT NULL AS ai_scored,
+       (CASE WHEN reset THEN coalesce(late_failed, 0) ELSE failed END)::INT AS ai_retries
+FROM (SELECT l.*, coalesce(user_id = 1 AND then_score < 50, false) AS reset, late.interest AS late_interest, late.failed AS late_failed
+      FROM lasts l LEFT JOIN second USING (user_id, article_id) LEFT JOIN late USING (user_id, article_id) WHERE known)
+"""
+
+
+@query("state_from_log", _LOGGED)
+def state_from_log(s: Star) -> DataFrame:
+    """Events as requests in three batches: contradicting marks, stars and scores, failures, a reset before the last batch, and a compaction."""
+    events = s.spark.read.parquet(f"{s.path}/events.parquet")
+    asked = events.select("user_id", (F.col("event_id") % 200).alias("article_id"), F.col("event_id").alias("seq"), "event_type", (F.col("event_id") % 7 < 3).alias("flag"), "value", (F.col("event_id") % 3).alias("batch"))
+    log = statelog.StateLog(s.spark, f"{shared_dir(s.spark)}/state-{uuid.uuid4().hex}", buckets=4)
+    for k in range(3):
+        part = asked.where(F.col("batch") == k)
+        log.mark(part.where("event_type = 'view'").withColumnRenamed("flag", "read"), NOW)
+        log.star(part.where("event_type = 'click'").withColumnRenamed("flag", "starred"))
+        log.score(part.where("event_type = 'purchase'").withColumns({"interest_score": F.col("value"), "security_score": F.col("value")}))
+        log.retry(part.where("event_type = 'error'"))
+        if k == 1:
+            log.compact()
+            log.reset(1, 50.0)
+    return log.state().select("user_id", "article_id", "read", "starred", "interest_score", "ai_scored", "ai_retries")
+
+
 @query("reset_insecure_scores", "SELECT user_id, article_id, CASE WHEN hit THEN NULL ELSE interest_score END AS interest_score, ai_scored AND NOT hit AS ai_scored, CASE WHEN hit THEN 0 ELSE ai_retries END AS ai_retries FROM (SELECT *, coalesce(user_id = 1 AND security_score < 4, false) AS hit FROM read_state)")
 def reset_insecure_scores(s: Star) -> DataFrame:
     return changes.reset_scores(s, 1, 4.0)["read_state"].select("user_id", "article_id", "interest_score", "ai_scored", "ai_retries")

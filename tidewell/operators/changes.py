@@ -2,7 +2,12 @@
 
 Each change takes many requests at once, as a DataFrame.  Inserts number new rows after
 the greatest id there is; what a key already holds is skipped or replaced as the change
-says; rows that belong to a deleted one go with it.
+says; rows that belong to a deleted one go with it.  Of several requests for one key the
+last by column ``seq`` counts (the first, where a key is added once), and without such a
+column, or on ties, the one of the greatest values; failures are counted each.
+
+Each change reads and writes its whole table; ``statelog`` keeps reading state so that a
+request costs its own size.
 """
 
 from __future__ import annotations
@@ -30,15 +35,23 @@ def without(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.alias("a").join(keys.distinct().alias("b"), _same(keys.columns), "left_anti")
 
 
+def once(requests: DataFrame, keys: list[str], first: bool = False) -> DataFrame:
+    """One request of each key: the last by ``seq`` (or the first), the greatest on ties."""
+    seq = F.col("seq") if "seq" in requests.columns else F.lit(0)
+    rest = [c for c in requests.columns if c not in [*keys, "seq"]]
+    best = F.max(F.struct((-seq if first else seq).alias("order"), *rest)).alias("best")
+    return requests.groupBy(*keys).agg(best).select(*keys, *[F.col(f"best.{c}").alias(c) for c in rest])
+
+
 def upserted(name: str, table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows replace those of the same key."""
-    rows = conform(rows, name).dropDuplicates(keys)
+    rows = conform(once(rows, keys), name)
     return without(table, rows.select(keys)).unionByName(rows)
 
 
 def inserted(name: str, table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new keys are added, the first of each key; others are skipped."""
-    rows = conform(rows, name).dropDuplicates(keys)
+    rows = conform(once(rows, keys, first=True), name)
     return table.unionByName(without(rows, table.select(keys)))
 
 
@@ -60,7 +73,7 @@ def numbered(table: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
 
 def changed(name: str, table: DataFrame, requests: DataFrame, keys: list[str], **values: Column) -> DataFrame:
     """Rows that some request's key names get new values; ``values`` may read the request's columns as ``r.*``."""
-    asked = requests.dropDuplicates(keys).withColumn("asked", F.lit(True))
+    asked = once(requests, keys).withColumn("asked", F.lit(True))
     joined = table.alias("t").join(asked.alias("r"), [F.col(f"t.{k}") == F.col(f"r.{k}") for k in keys], "left")
     columns = [f.strip().split(" ", 1)[0] for f in SCHEMAS[name].split(",")]
     return joined.select(*[(F.when(F.col("r.asked"), values[c]).otherwise(F.col(f"t.{c}")) if c in values else F.col(f"t.{c}")).alias(c) for c in columns])
@@ -83,14 +96,14 @@ def mark(s: Star, requests: DataFrame, now: str) -> Star:
     at = F.lit(now).cast("timestamp_ntz")
     date = F.when(F.col("read"), at)
     kept = changed("read_state", s["read_state"], requests, ["user_id", "article_id"], read=F.col("r.read"), read_date=F.when(F.col("r.read"), at))
-    fresh = requests.withColumns({"read_date": date, "starred": F.lit(False), "ai_scored": F.lit(False), "ai_retries": F.lit(0)})
+    fresh = once(requests, ["user_id", "article_id"]).withColumns({"read_date": date, "starred": F.lit(False), "ai_scored": F.lit(False), "ai_retries": F.lit(0)})
     return s.replace(read_state=inserted("read_state", kept, fresh, ["user_id", "article_id"]))
 
 
 def star_marks(s: Star, requests: DataFrame) -> Star:
     """Star marks (user_id, article_id, starred)."""
     kept = changed("read_state", s["read_state"], requests, ["user_id", "article_id"], starred=F.col("r.starred"))
-    fresh = requests.withColumns({"read": F.lit(False), "ai_scored": F.lit(False), "ai_retries": F.lit(0)})
+    fresh = once(requests, ["user_id", "article_id"]).withColumns({"read": F.lit(False), "ai_scored": F.lit(False), "ai_retries": F.lit(0)})
     return s.replace(read_state=inserted("read_state", kept, fresh, ["user_id", "article_id"]))
 
 
@@ -98,14 +111,15 @@ def score(s: Star, requests: DataFrame) -> Star:
     """Scores (user_id, article_id, interest_score, security_score, security_reason): scored from now on, read stays."""
     new = {c: F.col(f"r.{c}") for c in ("interest_score", "security_score", "security_reason")}
     kept = changed("read_state", s["read_state"], requests, ["user_id", "article_id"], ai_scored=F.lit(True), **new)
-    fresh = requests.withColumns({"read": F.lit(False), "starred": F.lit(False), "ai_scored": F.lit(True), "ai_retries": F.lit(0)})
+    fresh = once(requests, ["user_id", "article_id"]).withColumns({"read": F.lit(False), "starred": F.lit(False), "ai_scored": F.lit(True), "ai_retries": F.lit(0)})
     return s.replace(read_state=inserted("read_state", kept, fresh, ["user_id", "article_id"]))
 
 
 def retry(s: Star, requests: DataFrame) -> Star:
-    """One failed scoring more for each (user_id, article_id), or a first one."""
-    kept = changed("read_state", s["read_state"], requests, ["user_id", "article_id"], ai_retries=F.coalesce("t.ai_retries", F.lit(0)) + 1)
-    fresh = requests.withColumns({"read": F.lit(False), "starred": F.lit(False), "ai_scored": F.lit(False), "ai_retries": F.lit(1)})
+    """A failed scoring more for each row (user_id, article_id), or the first ones."""
+    failed = requests.groupBy("user_id", "article_id").agg(F.count(F.lit(1)).alias("ai_retries"))
+    kept = changed("read_state", s["read_state"], failed, ["user_id", "article_id"], ai_retries=(F.coalesce("t.ai_retries", F.lit(0)) + F.col("r.ai_retries")).cast("int"))
+    fresh = failed.withColumns({"read": F.lit(False), "starred": F.lit(False), "ai_scored": F.lit(False)})
     return s.replace(read_state=inserted("read_state", kept, fresh, ["user_id", "article_id"]))
 
 
@@ -215,7 +229,7 @@ def store_names(s: Star, authors: DataFrame | None = None, categories: DataFrame
     for table, rows, column in (("article_authors", authors, "name"), ("article_categories", categories, "category")):
         if rows is not None:
             low = F.lower(column).alias("low")
-            rows = conform(rows, table).select("*", low).dropDuplicates(["article_id", "low"])
+            rows = once(conform(rows, table).select("*", low), ["article_id", "low"])
             fresh = without(rows, s[table].select("article_id", low)).drop("low")
             out[table] = s[table].unionByName(fresh)
     return s.replace(**out)
@@ -240,7 +254,7 @@ def flag_articles(s: Star, requests: DataFrame, flag: str) -> Star:
 
 def add_feeds(s: Star, requests: DataFrame, now: str) -> Star:
     """Feeds (url, title) of new addresses."""
-    fresh = without(requests.dropDuplicates(["url"]), s["feeds"].select("url"))
+    fresh = without(once(requests, ["url"], first=True), s["feeds"].select("url"))
     rows = numbered(s["feeds"], fresh, ["url"]).withColumns({"enabled": F.lit(True), "created_at": F.lit(now).cast("timestamp_ntz"), "consecutive_errors": F.lit(0), "status": F.lit("active")})
     rows = rows.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "url"))
     return s.replace(feeds=s["feeds"].unionByName(conform(rows, "feeds")))
@@ -317,7 +331,7 @@ def rule_faults(s: Star, requests: DataFrame) -> DataFrame:
 def add_rules(s: Star, requests: DataFrame, now: str) -> Star:
     """Rules that are not refused; one of each (user, feed or none, axis, value)."""
     good = rule_faults(s, requests).where("fault IS NULL").drop("fault").withColumn("low", F.lower("value"))
-    good = good.dropDuplicates(["user_id", "feed_id", "axis", "low"]).drop("low")
+    good = once(good, ["user_id", "feed_id", "axis", "low"], first=True).drop("low")
     rows = numbered(s["filter_rules"], good, ["user_id", "axis", "value"]).withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
     return s.replace(filter_rules=s["filter_rules"].unionByName(conform(rows, "filter_rules")))
 
@@ -332,7 +346,7 @@ def delete_rules(s: Star, ids: DataFrame) -> Star:
 
 def add_users(s: Star, requests: DataFrame, now: str) -> Star:
     """Users (name, oidc_sub, email) whose name, without case, and subject are new."""
-    rows = requests.withColumn("low", F.lower("name")).dropDuplicates(["low"])
+    rows = once(requests.withColumn("low", F.lower("name")), ["low"], first=True)
     rows = without(rows, s["users"].select(F.lower("name").alias("low"))).drop("low")
     subjects = s["users"].where("oidc_sub IS NOT NULL").select("oidc_sub")
     rows = conform(rows, "users").join(subjects, "oidc_sub", "left_anti")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.functions import text
 from tidewell.operators import changes, shelf
+from tidewell.plans.scratch import materialize
 from tidewell.sources.star import Star
 
 #: Temperatures that hold without any setting; fixed values.
@@ -140,8 +141,13 @@ def process(s: Star, security: Model, curation: Model, summarization: Model, kee
     return changes.retry(out, failed.withColumnRenamed("id", "article_id"))
 
 
-def cluster_prompt(articles: DataFrame) -> DataFrame:
-    """(user_id, prompt): numbered titles with scores of (user_id, place, title, score), for grouping by a model."""
+def cluster_prompt(articles: DataFrame, most: int = 200) -> DataFrame:
+    """(user_id, prompt): numbered titles with scores of (user_id, place, title, score), for grouping by a model.
+
+    A prompt holds a user's ``most`` first places; a model reads no more at once.
+    """
+    best = Window.partitionBy("user_id").orderBy("place", "title", "score")
+    articles = articles.withColumn("nr", F.row_number().over(best)).where(F.col("nr") <= most)
     line = F.format_string("%d. [%.1f] %s", "place", "score", "title")
     lines = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
     head = "Group these articles by the event or topic they cover. Answer as JSON: groups, each with topic and article_indices.\n\n"
@@ -182,14 +188,19 @@ def newsletter_inputs(s: Star, letters: DataFrame) -> DataFrame:
     )
 
 
-def write_issues(s: Star, letters: DataFrame, model: Model, now: str) -> Star:
-    """Issues of all the given newsletters that have articles, written by a model; failed ones stay due."""
+def write_issues(s: Star, letters: DataFrame, model: Model, now: str, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> Star:
+    """Issues of all the given newsletters that have articles, written by a model; failed ones stay due.
+
+    The answers are written once (``keep``): ids, headlines and lists of the result are read
+    from the same ones, and no later action calls the model again.
+    """
     inputs = newsletter_inputs(s, letters)
     line = F.format_string("- %s (%s, %.1f): %s", "title", F.coalesce("feed_title", F.lit("")), "score", "summary")
     lists = inputs.groupBy(F.col("newsletter_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "id", line.alias("line")))).alias("l"))  # at most max_articles rows each
     rows = lists.join(letters.select(F.col("id").alias("newsletter_id"), "name", F.coalesce("prompt_template", F.lit(DEFAULTS["newsletter"])).alias("template")), "newsletter_id")
     filled = rendered(F.col("template"), Name=F.col("name"), Articles=F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
     answers = model(rows.withColumns({"prompt": filled, "temperature": F.lit(TEMPERATURES["newsletter"]), "model": F.lit("")}))
+    answers = keep(answers, "issues")
     read = answers.withColumn("r", read_json(F.col("response"), "headline STRING, body STRING")).where("r.headline IS NOT NULL")
     issues = read.select("newsletter_id", F.col("r.headline").alias("headline"), F.col("r.body").alias("content_html"), F.transform("l", lambda x: x["id"]).alias("article_ids"))
     return changes.add_issues(s, issues, now)
