@@ -4,9 +4,10 @@ A *window* is ``window`` consecutive plain words.  Every window owns an anchor,
 the ``ANCHOR``-word phrase in it with the least hash (leftmost on ties), so two
 windows of equal words own equal anchors.
 
-1. Anchors are counted over the whole corpus by a digest of their words; those found
-   twice are the recurring phrases, and each shard of documents learns one place of each
-   that it holds.
+1. Anchors are counted over the whole corpus by their hash; those found twice are taken
+   for recurring phrases, and each shard of documents learns one place of each that it
+   holds.  Equal phrases have equal hashes, so none is missed; others that share a hash
+   cost time only, since step 3 compares words.
 2. Documents are put in order (id, then the row's digest), and running sums of their
    bytes give each a base: base plus word position is a *place*, one long.
 3. Per shard, an Aho-Corasick automaton over words is compiled from the words at those
@@ -19,8 +20,7 @@ windows of equal words own equal anchors.
 
 A shard is some ``SHARD_BYTES`` of text (or one longer document), and so bounds its
 automaton; hot phrases are sums and minima, never collected groups.  The 64-bit word
-hashes only choose anchors.  Anchors are counted by 64-bit BLAKE2b digests and matched by
-their words; runs and windows are compared by 96-bit BLAKE2b digests of their words (among
+hashes only choose and count anchors, which are matched by their words; runs and windows are compared by 96-bit BLAKE2b digests of their words (among
 10 ** 13 windows, 100 TB or so, the chance that any two of different words meet is about
 one in a thousand), rows by the MD5 of id and text.
 
@@ -68,7 +68,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     a longer word is hashed alone.
     """
     raw = np.frombuffer(data, np.uint8)
-    edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+    space = np.ones(len(raw) + 2, bool)
+    np.take(_SPACE, raw, out=space[1:-1])
+    edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[::2], edge[1::2]
     sizes = ends - starts
     out, k = np.empty(len(starts), np.uint64), 0
@@ -122,28 +124,20 @@ def _ends(sizes: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(sizes + 1)]
 
 
-def _joined(data: bytes) -> bytes:
-    """The words joined by one space."""
-    spaced = data.translate(_TO_SPACE)
-    return b" ".join(data.split()) if b"  " in spaced or spaced[:1] == b" " or spaced[-1:] == b" " else spaced
-
-
 def _emit_anchors(window: int):
-    """(shard, row, text) to (shard, anchor, row, pos): digest and place of each text's anchors."""
+    """(shard, row, text) to (shard, anchor, row, pos): hash and place of each text's anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches()
         for batch in batches:
             found = []
             for shard, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                data = text.as_py() or b""
-                h, sizes = word_hashes(data)
+                h, _ = word_hashes(text.as_py() or b"")
                 if len(h) < window:
                     continue
-                own = np.flatnonzero(np.bincount(anchors(h, window)[1]))
-                joined, at, digest = _joined(data), _ends(sizes), hashlib.blake2b
-                digests = b"".join([digest(joined[a:b], digest_size=8).digest() for a, b in zip(at[own].tolist(), (at[own + ANCHOR] - 1).tolist(), strict=True)])
-                found.append((np.full(len(own), shard, np.int32), np.frombuffer(digests, np.int64), np.full(len(own), row, np.int64), own.astype(np.int32)))
+                phrases, at = anchors(h, window)
+                own = np.flatnonzero(np.bincount(at))
+                found.append((np.full(len(own), shard, np.int32), phrases[own].view(np.int64), np.full(len(own), row, np.int64), own.astype(np.int32)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["shard", "anchor", "row", "pos"])
 
