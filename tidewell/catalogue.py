@@ -10,7 +10,7 @@ from tidewell import catalogue_feeds, catalogue_search, catalogue_star
 from tidewell.functions import text, vectors
 from tidewell.operators import reading, render, search, state, stats
 from tidewell.sources.tables import NOW, RULES, Tables
-from tidewell.streaming import ingest
+from tidewell.streaming import grouping, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -620,6 +620,14 @@ def stream_dedup_count(t: Tables) -> DataFrame:
     return ingest.run_once(stream, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("online_groups")
+def online_groups(t: Tables) -> DataFrame:
+    """All vectors as a stream, grouped online for fifty users."""
+    vectors = ingest.event_stream(t.spark, f"{t.path}/embeddings.parquet")
+    arrivals = vectors.select((F.col("vec_id") % 50).alias("user_id"), F.col("vec_id").alias("article_id"), F.col("vec_id").alias("arrival"), "embedding")
+    return ingest.run_once(grouping.grouped(arrivals), "groups")
+
+
 for _more in (catalogue_star, catalogue_feeds, catalogue_search):
     QUERIES.update(_more.QUERIES)
     ORACLES.update(_more.ORACLES)
