@@ -82,6 +82,50 @@ def test_odd_pages_take_linear_time(source):
     assert time.perf_counter() - began < 5
 
 
+POST = "The story goes on for a good while here, with words enough to be the article of this page. " * 4
+NOTE = "I am a reader and this is what I think of it, at some length, so that I win by size. " * 9
+THEMES = [
+    # comments as articles, beside the post, below it, and in a list
+    f'<article><p>{POST}</p></article><article class="comment"><p>{NOTE}</p></article>',
+    f'<main><article class="post"><p>{POST}</p></article>' + f'<article class="comment-body" id="comment-7"><p>{NOTE}</p></article>' * 10 + "</main>",
+    f'<main><article class="post comments-open"><p>{POST}</p></article><section id="comments">' + f"<article><p>{NOTE}</p></article>" * 3 + "</section></main>",
+    f'<article class="hentry"><p>{POST}</p><ol class="comment-list"><li><article class="comment even depth-1"><p>{NOTE}</p></article></li></ol></article>',
+    f'<article id="post-1"><p>{POST}</p></article><article class="related"><p>{NOTE}</p></article><article class="reply r2"><p>{NOTE}</p></article>',
+    f'<article class="has-sidebar no-comments"><p>{POST}</p></article>',
+    # elements that are never closed
+    f"<article><svg viewBox='0 0 1 1'><path d=''><p>{POST}</p></article>",
+    f"<article><div><select name=x><option>a</div><p>{POST}</p></article>",
+    f"<div class=icons><svg><g></div><article><p>{POST}</p></article>",
+    f"<article><canvas id=c><p>{POST}</p></article>",
+    f"<article><object data=x><param name=a><p>{POST}</p></article>",
+    f"<body><noscript><img src=x><article><p>{POST}</p></article></body>",
+    f"<body><template><article><p>{POST}</p></article></body>",
+    f"<article><math><mi>x<p>{POST}</p></article>",
+    # and closed ones, whose texts go
+    f"<article><svg><text>{NOTE}</text></svg><select><option>{NOTE}</select><p>{POST}</p><noscript>{NOTE}</noscript><object>{NOTE}</object><canvas><p>{NOTE}</p></canvas></article>",
+    f"<article><svg><foreignObject><div>{NOTE}</div></foreignObject></svg><p>{POST}</p><template><div>{NOTE}</div></template></article>",
+]
+TITLED = [
+    '<article><header class="entry-header"><h1>Title</h1></header><p>{}</p></article>', '<article><div class="article-header"><h1>Title</h1></div><p>{}</p></article>',
+    '<main><header class="page-header"><h2>Title</h2></header><article><p>{}</p></article></main>', '<article><header><h1 class="header">Title</h1></header><p>{}</p></article>',
+]
+
+
+@pytest.mark.parametrize("source", THEMES)
+def test_themes_give_the_post_alone(source):
+    page = html_main.Page(source)
+    assert page.text(max(page.best(), key=lambda x: x[1])[0]) == POST.strip()
+
+
+@pytest.mark.parametrize("source", TITLED)
+def test_headers_of_an_article_are_its_title(source):
+    page = html_main.Page(source.format(POST))
+    got = page.text(max(page.best(), key=lambda x: x[1])[0])
+    assert got.endswith(POST.strip()) and ("Title" in got or "<main>" in source)
+    site = html_main.Page(f'<header class="site-header"><p>Site</p></header><main><div class="site-header">Site</div><article><p>{POST}</p></article></main>')
+    assert site.text(max(site.best(), key=lambda x: x[1])[0]) == POST.strip()
+
+
 def test_unclosed_tags_and_quotes():
     read = lambda s: html_main.Page(s).text(None)
     assert read("<p>a < b and c <d") == "a < b and c <d"

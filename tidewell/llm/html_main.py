@@ -14,7 +14,8 @@ are chained digests, open elements are found by tag, scores are summed up the tr
 
 Defined cases: a ``<`` that no ``>`` follows is text; of a tag with an unclosed quote, and
 of tags before that quote, the first ``>`` is the end; a page of which boilerplate words of class and id leave nothing is read
-without them; null or empty html gives an empty text; a null or unparsable url
+without them; an svg, math or select element that is not closed ends at the next block, and
+an object, canvas, template or noscript element that is never closed is empty; null or empty html gives an empty text; a null or unparsable url
 belongs to the host ''; equal votes go to the greater path digest; repeated rows vote as
 often as they occur; an empty table gives an empty result; other columns are ignored.
 """
@@ -35,19 +36,25 @@ from tidewell.plans.scratch import broadcast_if_small, materialize
 
 #: Tags by role; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select object canvas math".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Dropped elements: of the first kind a block ends one that was not closed; of the second, one that is never closed counts as empty.
+_FOREIGN, _FALLBACK = frozenset("svg math select".split()), frozenset("noscript template object canvas".split())
 CONTAINERS = frozenset("body article main section div td center".split())
 BLOCKS = CONTAINERS | frozenset(
     "address blockquote dd details dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html head hr li nav aside ol p pre "
     "summary table tbody tfoot th thead tr ul menu dialog button label legend option".split()
 )
-DROPPED = frozenset("nav footer aside form menu dialog button head label legend option".split())
+DROPPED = frozenset("nav footer aside form menu dialog button head label legend option".split()) | _FOREIGN | _FALLBACK
 #: Words of classes and ids that mark boilerplate; fixed values.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsored sponsor promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer sidebar side aside comment comments disqus reply replies cookie cookies consent notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager widget toolbar skip".split()
 )
+#: Of an article only names that say nothing else count ("comment", "related", not "comments-open"), and those that begin so.
+_OWN = ("comment", "reply")
+#: Inside an article or main element a header is its title, unless it is named the site's.
+_TITLES, _SITE = frozenset("header masthead".split()), frozenset("site global top".split())
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""(?:^|\s)(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -57,12 +64,19 @@ _LIMITS = {"ul", "ol", "dl", "table", "body"} | (CONTAINERS - {"td"})
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """(generalised tag-class label, whether class or id names boilerplate)."""
+def _label(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
+    """(generalised tag-class label, whether class or id names boilerplate); ``inside`` an article or main element."""
     names = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(attrs)] if attrs else []
-    marks = {w for _, v in names for w in re.split(r"[^a-z]+", v.lower())}
-    classes = sorted(re.sub(r"\d+", "#", c) for k, v in names if k == "class" for c in v.split())
-    return ".".join([tag, *classes]), bool(marks & BOILERPLATE)
+    label = ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for k, v in names if k == "class" for c in v.split())])
+    for _, value in names:
+        for name in value.lower().split():
+            marks = [w for w in re.split(r"[^a-z]+", name) if w]
+            if tag == "article":
+                if marks and (marks[0] in _OWN or len(marks) == 1 and marks[0] in BOILERPLATE):
+                    return label, True
+            elif BOILERPLATE.intersection(marks) - (_TITLES if inside and not _SITE.intersection(marks) else frozenset()):
+                return label, True
+    return label, False
 
 
 def path_id(labels: list[str]) -> int:
@@ -124,6 +138,9 @@ class Page:
     def _start(self, tag: str, attrs: str) -> None:
         if tag in BLOCKS:
             self._flush()
+            foreign = self._last(_FOREIGN) if tag not in ("option", "label", "legend", "button") else -1
+            if foreign > self._last({"foreignobject"}):
+                self._close(foreign)
             self._end_open({"p"}, BLOCKS - {"p"})
             if tag in _CLOSES:
                 self._end_open(_CLOSES[tag], _LIMITS)
@@ -131,11 +148,11 @@ class Page:
             if tag == "br":
                 self._add(" ")
             return
-        label, marked = _label(tag, attrs)
+        inside = bool(self._at["article"] or self._at["main"])
+        label, marked = _label(tag, attrs, inside)
         self._marked |= marked
         marked &= self._marks
-        inside = bool(self._at["article"] or self._at["main"])
-        bad = tag in DROPPED or (tag == "header" and not inside) or (marked and tag not in ("html", "body", "article", "main"))
+        bad = tag in DROPPED or (tag == "header" and not inside) or (marked and tag not in ("html", "body", "main"))
         container = self._container()
         if tag in CONTAINERS and not bad and not self._dropped():
             parent, container = container, len(self.paths)
@@ -181,6 +198,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         at, low, self._lenient, last = 0, None, 0, source.rfind(">")
+        self._ends: dict[str, int] = {}
         while True:
             lt = source.find("<", at)
             if lt < 0 or (lt > last and not source.startswith("<!--", lt)):
@@ -211,11 +229,17 @@ class Page:
                     close = low.find(f"</{tag}", at)
                     end = source.find(">", close) if close >= 0 else -1
                     at = end + 1 if end >= 0 else len(source)
-            else:
+            elif tag not in _FALLBACK or self._is_closed(tag, source, at):
                 self._start(tag, attrs)
         self._add(source[at:])
         self._flush()
 
+    def _is_closed(self, tag: str, source: str, at: int) -> bool:
+        """Whether an end tag of this name follows; each name's last one is looked for once."""
+        if tag not in self._ends:
+            self._ends[tag] = max((m.start() for m in re.finditer(f"</{tag}", source, re.I)), default=-1)
+        return self._ends[tag] >= at
+
     def scores(self) -> list[float]:
         """Each container's unlinked characters, those of each level below at half."""
         out = [0.0] * len(self.paths)
