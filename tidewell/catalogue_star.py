@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.operators import changes, shelf, statelog
+from tidewell.operators import changes, prompts, render, shelf, statelog
 from tidewell.plans.scratch import shared_dir
 from tidewell.sources import driver
 from tidewell.sources.star import Star
@@ -255,6 +255,12 @@ def feed_stats_full(s: Star) -> DataFrame:
     return shelf.feed_stats(s)
 
 
+@query("feed_stats_posted", _STATS + "SELECT * FROM fs WHERE total > 0")
+def feed_stats_posted(s: Star) -> DataFrame:
+    """Feeds with articles only."""
+    return shelf.feed_stats(s, posted=True)
+
+
 @query("feed_stats_sums", _STATS + "SELECT user_id, sum(total)::BIGINT AS total, sum(unread)::BIGINT AS unread, sum(unsummarized)::BIGINT AS unsummarized FROM fs GROUP BY 1")
 def feed_stats_sums(s: Star) -> DataFrame:
     return shelf.feed_stats(s).groupBy("user_id").agg(*[F.sum(c).alias(c) for c in ("total", "unread", "unsummarized")])
@@ -701,3 +707,66 @@ def add_issue(s: Star) -> DataFrame:
 @query("mark_issue_sent", f"SELECT id, CASE WHEN id % 7 = 0 THEN {_NOW} ELSE sent_at END AS sent_at FROM newsletter_issues")
 def mark_issue_sent(s: Star) -> DataFrame:
     return changes.mark_sent(s, s["newsletter_issues"].where("id % 7 = 0").select("id"), NOW)["newsletter_issues"].select("id", "sent_at")
+
+
+# --- links, exports, counters, vectors -------------------------------------------------
+
+
+@query("group_link_items", "SELECT user_id, group_id, string_agg(id::VARCHAR, ',' ORDER BY added_at, id) AS item_ids FROM owned GROUP BY 1, 2 HAVING count(*) >= 2")
+def group_link_items(s: Star) -> DataFrame:
+    return shelf.group_link_items(s)
+
+
+@query(
+    "opml_of_all_feeds",
+    """SELECT 1::INT AS place, url, '<outline type="rss" text="' || title || '" title="' || title || '" xmlUrl="' || url || '"/>' AS line
+FROM feeds WHERE enabled AND status = 'active' AND id IN (SELECT feed_id FROM user_feeds)
+UNION ALL SELECT 0, NULL, '<opml version="2.0"><head><title>All subscriptions</title></head><body>' UNION ALL SELECT 2, NULL, '</body></opml>'""",
+)
+def opml_of_all_feeds(s: Star) -> DataFrame:
+    """Every active feed that somebody reads, once."""
+    feeds = s["feeds"].where("enabled AND status = 'active'")
+    return render.opml_lines(feeds.join(s["user_feeds"].select(F.col("feed_id").alias("id")).distinct(), "id", "left_semi").select("url", "title"))
+
+
+@query(
+    "fetch_result",
+    """, c AS (
+  SELECT count(*) AS feeds_total, count(*) FILTER (last_error IS NULL AND etag IS NULL) AS feeds_downloaded, count(*) FILTER (last_error IS NULL AND etag IS NOT NULL) AS feeds_not_modified,
+         count(*) FILTER (last_error IS NOT NULL) AS feeds_errored, (SELECT count(*) FROM articles WHERE fetched_date >= TIMESTAMP '2024-01-20') AS new_articles,
+         (SELECT count(*) FROM read_state WHERE ai_scored) AS processed, (SELECT count(*) FROM read_state WHERE ai_scored AND interest_score >= 8) AS high_interest FROM feeds)
+SELECT unnest(range(0, 10))::INT AS nr, unnest([
+  'feeds_total=' || feeds_total, 'feeds_downloaded=' || feeds_downloaded, 'feeds_not_modified=' || feeds_not_modified, 'feeds_errored=' || feeds_errored,
+  'new_articles=' || new_articles, 'processed=' || processed, 'high_interest=' || high_interest,
+  'Feeds: ' || feeds_total || ' checked, ' || feeds_downloaded || ' downloaded, ' || feeds_not_modified || ' unchanged, ' || feeds_errored || ' errors',
+  'New articles: ' || new_articles, to_json(c)::VARCHAR]) AS line FROM c""",
+)
+def fetch_result(s: Star) -> DataFrame:
+    outcome = F.when(F.col("last_error").isNotNull(), "error").when(F.col("etag").isNotNull(), "not_modified").otherwise("downloaded")
+    counts = render.fetch_result(s["feeds"].select(outcome.alias("outcome")), s["articles"], s["read_state"].where("ai_scored"), "2024-01-20 00:00:00")
+    return render.fetch_lines(counts)
+
+
+@query(
+    "backfilled_embeddings",
+    """SELECT article_id, n::DOUBLE AS seen, 'm1' AS embedding_model FROM (
+  SELECT a.id AS article_id, CASE WHEN strlen(content) >= 200 THEN CASE WHEN strlen(title) + 1 + strlen(content) >= 7497 THEN 7500 ELSE strlen(title) + 1 + strlen(content) END ELSE 0 END AS n
+  FROM articles a WHERE NOT EXISTS (SELECT 1 FROM article_embeddings e WHERE e.article_id = a.id AND e.embedding_model = 'm1'))""",
+)
+def backfilled_embeddings(s: Star) -> DataFrame:
+    """All articles without a vector of model m1 get one (here the bytes that the model saw)."""
+    embed = lambda rows: rows.withColumn("embedding", F.array(F.octet_length("text").cast("float")))
+    before = s["article_embeddings"].where("embedding_model = 'm1'").select("article_id")
+    after = prompts.backfill_embeddings(s, embed, "m1", NOW)["article_embeddings"].join(before, "article_id", "left_anti").where("embedding_model = 'm1'")
+    seen = F.coalesce(F.get("embedding", F.lit(0)), F.lit(0.0)).cast("double")
+    # A character that the cut would split is left out whole: at most three bytes less.
+    return after.select("article_id", F.when(seen >= 7497, 7500.0).otherwise(seen).alias("seen"), "embedding_model")
+
+
+@query(
+    "issue_mails",
+    """SELECT id, '<!DOCTYPE html><html><head><meta charset="utf-8"><title>' || headline || '</title></head><body style="margin:0;background:#eee;font-family:sans-serif">'
+ || '<div style="max-width:600px;margin:20px auto;padding:30px;background:#fff;color:#333;line-height:1.6">' || content_html || '</div></body></html>' AS mail FROM newsletter_issues""",
+)
+def issue_mails(s: Star) -> DataFrame:
+    return s["newsletter_issues"].select("id", render.in_mail(F.col("headline"), F.col("content_html")).alias("mail"))

@@ -204,3 +204,30 @@ def write_issues(s: Star, letters: DataFrame, model: Model, now: str, keep: Call
     read = answers.withColumn("r", read_json(F.col("response"), "headline STRING, body STRING")).where("r.headline IS NOT NULL")
     issues = read.select("newsletter_id", F.col("r.headline").alias("headline"), F.col("r.body").alias("content_html"), F.transform("l", lambda x: x["id"]).alias("article_ids"))
     return changes.add_issues(s, issues, now)
+
+
+# --- vectors ---------------------------------------------------------------------
+
+#: Bytes of content below which an article has no vector, and bytes of text that a model sees; fixed values.
+LEAST_EMBEDDED, MOST_EMBEDDED = 200, 7500
+
+
+def embedding_text(title: Column, content: Column) -> Column:
+    """Title and content as a model is given them, in whole characters; null where the content is too short."""
+    whole = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), content)
+    return F.when(F.octet_length(content) >= LEAST_EMBEDDED, text.cut_bytes(whole, MOST_EMBEDDED))
+
+
+def backfill_embeddings(s: Star, embed: Model, model: str, now: str, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> Star:
+    """Vectors of all articles that the model has none of.
+
+    ``embed`` turns rows (id, text) into rows with an ``embedding``.  What is too short, or
+    gets no vector, is stored with an empty one, so that it is not asked about again.
+    """
+    missing = shelf.without_embeddings(s, model).select("id").join(s["articles"].select("id", "title", "content", "summary"), "id")
+    content = F.coalesce(F.nullif("content", F.lit("")), "summary")
+    rows = missing.select("id", embedding_text(F.col("title"), content).alias("text"))
+    made = keep(embed(rows.where("text IS NOT NULL")).select("id", "embedding"), "embeddings")
+    every = rows.select("id").join(made, "id", "left")
+    vectors = every.select(F.col("id").alias("article_id"), F.coalesce(F.col("embedding").cast("array<float>"), F.array().cast("array<float>")).alias("embedding"))
+    return changes.store(s, "article_embeddings", vectors.withColumns({"embedding_model": F.lit(model), "created_at": F.lit(now).cast("timestamp_ntz")}))

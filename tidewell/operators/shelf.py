@@ -212,13 +212,13 @@ def has_filter_rules(s: Star) -> DataFrame:
     return s["users"].select("id").join(ruled, "id", "left").select(F.col("id").alias("user_id"), F.coalesce("has_rules", F.lit(False)).alias("has_rules"))
 
 
-def feed_stats(s: Star) -> DataFrame:
-    """Per user and subscribed feed: all, unread and unsummarised articles, last post; feeds without articles too."""
+def feed_stats(s: Star, posted: bool = False) -> DataFrame:
+    """Per user and subscribed feed: all, unread and unsummarised articles, last post; feeds without articles too, unless ``posted``."""
     subs = user_feeds(s).select("user_id", F.col("id").alias("feed_id"), "title")
     totals = s["articles"].groupBy("feed_id").agg(F.count(F.lit(1)).alias("total"), F.max("published_date").alias("last_published"))
     waiting = unread(s).groupBy("user_id", "feed_id").agg(F.count(F.lit(1)).alias("unread"))
     bare = unsummarized(s).groupBy("user_id", "feed_id").agg(F.count(F.lit(1)).alias("unsummarized"))
-    rows = subs.join(totals, "feed_id", "left").join(waiting, ["user_id", "feed_id"], "left").join(bare, ["user_id", "feed_id"], "left")
+    rows = subs.join(totals, "feed_id", "inner" if posted else "left").join(waiting, ["user_id", "feed_id"], "left").join(bare, ["user_id", "feed_id"], "left")
     return rows.select("user_id", "feed_id", "title", "last_published", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "unread", "unsummarized")])
 
 
@@ -257,6 +257,15 @@ def group_stats(s: Star) -> DataFrame:
     return sums.where("n_members >= 2 AND unread > 0")
 
 
+def group_link_items(s: Star) -> DataFrame:
+    """(user_id, group_id, item_ids): articles of groups of two or more in order of their addition, joined by commas."""
+    added = s["article_group_members"].select("group_id", "added_at", F.col("article_id").alias("id"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("added_at", "id"))), lambda x: x["id"].cast("string"))
+    owners = s["article_groups"].select(F.col("id").alias("group_id"), "user_id")
+    rows = added.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(ids, ",").alias("item_ids")).where("n >= 2")
+    return rows.join(owners, "group_id").select("user_id", "group_id", "item_ids")
+
+
 def group_links(s: Star) -> DataFrame:
     """Links of groups of two or more, by owner: first added member, size, temperature by the owner's scores."""
     added = s["article_group_members"].select("group_id", F.col("article_id").alias("id"), "added_at")
