@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewell.functions import images
 from tidewell.operators import changes, prompts, render, shelf, statelog
 from tidewell.plans.scratch import shared_dir
 from tidewell.sources import driver
@@ -770,3 +771,19 @@ def backfilled_embeddings(s: Star) -> DataFrame:
 )
 def issue_mails(s: Star) -> DataFrame:
     return s["newsletter_issues"].select("id", render.in_mail(F.col("headline"), F.col("content_html")).alias("mail"))
+
+
+@query(
+    "fitted_icons",
+    """, src AS (SELECT vec_id AS id, 1 + vec_id % 150 AS w, 1 + vec_id * 7 % 130 AS h FROM embeddings),
+dst AS (
+  SELECT *, CASE WHEN w <= 64 AND h <= 64 THEN w WHEN w > h THEN 64 ELSE greatest(1, w * 64 // h) END AS dw,
+         CASE WHEN w <= 64 AND h <= 64 THEN h WHEN w > h THEN greatest(1, h * 64 // w) ELSE 64 END AS dh FROM src),
+px AS (SELECT id, w, h, dw, dh, x, unnest(range(0, dh)) AS y FROM (SELECT *, unnest(range(0, dw)) AS x FROM dst))
+SELECT id, any_value(dw)::INT AS width, any_value(dh)::INT AS height, sum((id * 31 + (x * w // dw) * 7 + (y * h // dh) * 13) % 256)::BIGINT AS red FROM px GROUP BY 1""",
+)
+def fitted_icons(s: Star) -> DataFrame:
+    """An image of each vector's id, fitted as an icon; the sum of its red pixels tells whether the right ones were taken."""
+    made = s["article_embeddings"].select(F.col("article_id").alias("id"))
+    drawn = made.withColumn("png", images.drawn(F.col("id"), 1 + F.col("id") % 150, 1 + F.col("id") * 7 % 130)).withColumn("icon", images.icon_png(F.col("png")))
+    return drawn.select("id", "icon.width", "icon.height", images.red_sum(F.col("icon.data")).alias("red"))
