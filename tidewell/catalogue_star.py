@@ -787,3 +787,62 @@ def fitted_icons(s: Star) -> DataFrame:
     made = s["article_embeddings"].select(F.col("article_id").alias("id"))
     drawn = made.withColumn("png", images.drawn(F.col("id"), 1 + F.col("id") % 150, 1 + F.col("id") * 7 % 130)).withColumn("icon", images.icon_png(F.col("png")))
     return drawn.select("id", "icon.width", "icon.height", images.red_sum(F.col("icon.data")).alias("red"))
+
+
+# --- rules of many users, made from customers -----------------------------------------
+
+_MADE_RULES = """SELECT c_custkey AS id, c_custkey % 50 AS user_id, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 20 END AS feed_id,
+  CASE WHEN c_custkey % 16 = 15 THEN 'colour' WHEN c_custkey % 8 < 3 THEN 'author' WHEN c_custkey % 8 < 6 THEN 'category' ELSE 'tag' END AS axis,
+  CASE WHEN c_custkey % 32 = 1 THEN ' ' WHEN c_custkey % 8 < 3 THEN 'Author ' || c_custkey % 13 WHEN c_custkey % 4 = 0 THEN 'EN' WHEN c_custkey % 4 = 1 THEN 'fr' ELSE 'De' END AS value,
+  CAST(c_custkey % 11 - 5 AS INT) AS score FROM customer"""
+_HELD = """, made AS (""" + _MADE_RULES + """),
+held AS (
+  SELECT id, user_id, feed_id, axis, value, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, coalesce(feed_id, -1), axis, lower(value) ORDER BY id) AS k FROM made WHERE id % 2 = 0 AND axis <> 'colour' AND trim(value) <> '') WHERE k = 1),
+judged AS (
+  SELECT m.*, CASE WHEN axis = 'colour' THEN 'axis' WHEN trim(value) = '' THEN 'value'
+    WHEN EXISTS (SELECT 1 FROM held h WHERE h.user_id = m.user_id AND h.feed_id IS NOT DISTINCT FROM m.feed_id AND h.axis = m.axis AND lower(h.value) = lower(m.value)) THEN 'exists' END AS fault
+  FROM made m WHERE id % 2 = 1)
+"""
+
+
+def _with_rules(s: Star) -> tuple[Star, DataFrame]:
+    """A star with rules from customers, and requests for more, in order of ``seq``."""
+    made = s.spark.sql(_MADE_RULES.replace("FROM customer", "FROM {customer}"), customer=s.spark.read.parquet(f"{s.path}/customer.parquet"))
+    held = made.where("id % 2 = 0 AND axis <> 'colour' AND trim(value) <> ''").withColumns({"feed_key": F.coalesce("feed_id", F.lit(-1)), "low": F.lower("value")})
+    first = held.groupBy("user_id", "feed_key", "axis", "low").agg(F.min(F.struct("id", "feed_id", "value", "score")).alias("f"))
+    return s.replace(filter_rules=first.select("user_id", "axis", "f.*")), made.where("id % 2 = 1").withColumnRenamed("id", "seq")
+
+
+@query("rules_of_feed_made", _HELD + "SELECT id, feed_id, axis, value, score FROM held WHERE user_id = 2 AND (feed_id IS NULL OR feed_id = 12)")
+def rules_of_feed_made(s: Star) -> DataFrame:
+    return shelf.filter_rules(_with_rules(s)[0], 2, 12).select("id", "feed_id", "axis", "value", "score")
+
+
+@query("rule_faults_made", _HELD + "SELECT id AS seq, user_id, feed_id, axis, value, score, fault FROM judged")
+def rule_faults_made(s: Star) -> DataFrame:
+    ruled, asked = _with_rules(s)
+    return changes.rule_faults(ruled, asked)
+
+
+@query(
+    "add_rules_made",
+    _HELD + "SELECT user_id, feed_id, axis, value, score FROM held UNION ALL SELECT user_id, feed_id, axis, value, score FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY user_id, feed_id, axis, lower(value) ORDER BY id) AS k FROM judged WHERE fault IS NULL) WHERE k = 1",
+)
+def add_rules_made(s: Star) -> DataFrame:
+    return changes.add_rules(*_with_rules(s), NOW)["filter_rules"].select("user_id", "feed_id", "axis", "value", "score")
+
+
+@query("change_rules_made", _HELD + "SELECT id, CASE WHEN id % 5 = 0 THEN 9 ELSE score END::INT AS score FROM held WHERE id % 7 <> 0")
+def change_rules_made(s: Star) -> DataFrame:
+    ruled = _with_rules(s)[0]
+    rules = ruled["filter_rules"]
+    scored = changes.rescore_rules(ruled, rules.where("id % 5 = 0").select("id", F.lit(9).alias("score")))
+    return changes.delete_rules(scored, rules.where("id % 7 = 0").select("id"))["filter_rules"].select("id", "score")
+
+
+@query("summary_of_first_article", "SELECT ai_summary FROM article_summaries WHERE user_id = (SELECT min(user_id) FROM article_summaries) AND article_id = (SELECT min_by(article_id, (user_id, article_id)) FROM article_summaries)")
+def summary_of_first_article(s: Star) -> DataFrame:
+    first = s["article_summaries"].agg(F.min(F.struct("user_id", "article_id")).alias("f")).select("f.*")
+    return s["article_summaries"].join(F.broadcast(first), ["user_id", "article_id"]).select("ai_summary")
