@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import html
-from tidewell.operators import changes, ingest, migrate, prompts, shelf
+from tidewell.operators import changes, ingest, migrate, prompts, refresh, shelf
 from tidewell.plans.scratch import materialize
 from tidewell.sources import feedfiles
 from tidewell.sources.star import SCHEMAS, Star, conform
@@ -207,3 +207,46 @@ def test_a_saved_star_is_loaded(spark, reader, tmp_path):
     reader.save(str(tmp_path))
     back = Star.load(spark, str(tmp_path), ["feeds", "articles", "users", "user_feeds", "article_groups", "article_group_members"])
     assert ids(shelf.unread(back, 1)) == [3] and back["newsletters"].columns == [c.strip().split(" ")[0] for c in SCHEMAS["newsletters"].split(",")]
+
+
+def test_differences_of_tables(spark):
+    schema = "k long, j string, v string, w array<int>"
+    old = spark.createDataFrame([(1, "a", "x", [1]), (1, "b", "y", None), (2, None, None, []), (3, "a", "z", [1])], schema)
+    new = spark.createDataFrame([(1, "a", "x", [1]), (1, "b", None, None), (2, None, None, None), (4, "a", "z", [1])], schema)
+    got = {(r.k, r.j): r.change for r in refresh.difference(old, new, ["k", "j"]).collect()}
+    assert got == {(1, "b"): "changed", (2, None): "changed", (3, "a"): "gone", (4, "a"): "added"}
+    assert refresh.difference(old, old, ["k", "j"]).count() == 0
+
+
+def test_only_touched_groups_reach_the_model(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    @F.udf("string")
+    def answer(prompt):
+        import hashlib
+
+        (calls / hashlib.md5(prompt.encode()).hexdigest()).write_text(prompt)
+        return "no JSON at all" if "Topic: plain" in prompt else '{"headline": "H", "summary": "S"}' if "JSON" in prompt else " Refined "
+
+    model = lambda rows: rows.withColumn("response", answer.asNondeterministic()("prompt"))
+    s = star(
+        spark,
+        articles=("id long, title string", [(k, f"T{k}") for k in range(1, 12)]),
+        users=("id long, name string", [(1, "Ann"), (2, "Bo")]),
+        article_groups=("id long, user_id long, topic string", [(1, 1, "one"), (2, 1, "two"), (3, 2, "plain"), (4, 2, "still"), (5, 2, "single")]),
+        article_group_members=("group_id long, article_id long", [(1, 1), (1, 2), (2, 3), (2, 4), (3, 5), (3, 6), (4, 7), (4, 8), (5, 9)]),
+        article_summaries=("user_id long, article_id long, ai_summary string", [(u, k, f"sum {k}") for u, ks in ((1, range(1, 6)), (2, range(5, 10))) for k in ks]),
+        read_state=("user_id long, article_id long, interest_score double", [(1, 1, 9.0), (2, 5, 4.0)]),
+        group_summaries=("group_id long, headline string, summary string", [(4, "kept", "kept"), (1, "old", "old")]),
+    )
+    after = changes.add_members(s, spark.createDataFrame([(1, 5), (5, 10)], "group_id long, article_id long"), NOW)
+    after = changes.store(after, "article_summaries", spark.createDataFrame([(2, 6, "changed"), (1, 6, "of another user")], "user_id long, article_id long, ai_summary string"))
+    assert sorted(r.group_id for r in refresh.touched_groups(s, after).collect()) == [1, 3, 5]
+    out = refresh.refresh_groups(s, after, model, model, NOW)
+    rows = {r.group_id: (r.headline, r.summary, r.article_count, r.max_interest_score) for r in out["group_summaries"].collect()}
+    assert rows == {1: ("H", "S", 3, 9.0), 3: ("", "no JSON at all", 2, 5.0), 4: ("kept", "kept", None, None), 5: ("", "sum 9", 1, 5.0)}
+    assert {r.id: r.topic for r in out["article_groups"].collect()} == {1: "Refined", 2: "two", 3: "plain", 4: "still", 5: "single"}
+    asked = sorted(p.read_text() for p in calls.iterdir())
+    assert len(asked) == 3 and sum("1. T1" in a and "3. T5" in a for a in asked) == 1  # two groups and one topic
+    assert refresh.touched_groups(out, out).count() == 0

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.functions import images
-from tidewell.operators import changes, prompts, render, shelf, statelog
+from tidewell.operators import changes, prompts, refresh, render, shelf, statelog
 from tidewell.plans.scratch import shared_dir
 from tidewell.sources import driver
 from tidewell.sources.star import Star
@@ -846,3 +846,15 @@ def change_rules_made(s: Star) -> DataFrame:
 def summary_of_first_article(s: Star) -> DataFrame:
     first = s["article_summaries"].agg(F.min(F.struct("user_id", "article_id")).alias("f")).select("f.*")
     return s["article_summaries"].join(F.broadcast(first), ["user_id", "article_id"]).select("ai_summary")
+
+
+@query(
+    "touched_groups",
+    "SELECT DISTINCT group_id FROM (SELECT 2 AS group_id WHERE NOT EXISTS (SELECT 1 FROM article_group_members WHERE group_id = 2 AND article_id = 5) "
+    "UNION ALL SELECT o.group_id FROM owned o JOIN article_summaries x ON x.user_id = o.user_id AND x.article_id = o.id WHERE o.id % 25 = 0)",
+)
+def touched_groups(s: Star) -> DataFrame:
+    """Groups to be summarised anew after a new member and some new article summaries."""
+    after = changes.add_members(s, values(s, "group_id long, article_id long", (2, 5)), NOW)
+    again = s["article_summaries"].where("article_id % 25 = 0").withColumn("ai_summary", F.concat("ai_summary", F.lit(" anew")))
+    return refresh.touched_groups(s, changes.store(after, "article_summaries", again))
