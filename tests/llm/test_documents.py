@@ -579,4 +579,4 @@ def test_best_fit_takes_the_tightest_bin():
 
 def test_queries_registered():
     names = {n.split("_")[0] for n in queries.queries()}
-    assert names == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert names == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
