@@ -12,17 +12,19 @@ windows of equal words own equal anchors.
    bytes give each a base: base plus word position is a *place*, one long.
 3. Per shard, an Aho-Corasick automaton over words is compiled from the words at those
    places and all documents of the shard are streamed through it, which locates every
-   occurrence.  Windows whose anchor was matched are candidates; neighbours that share an anchor travel as one run (digest
-   of its words, place, digests of its windows).
+   occurrence.  Windows whose anchor was matched are candidates; neighbours that share an
+   anchor travel as one run (digest of its windows' digests, place, digests of its windows).
 4. Runs are aggregated to their first place, then the windows of distinct runs to
    theirs.  Later places of a run go whole; at its first place those windows go that
    another run holds earlier.
 
 A shard is some ``SHARD_BYTES`` of text (or one longer document), and so bounds its
 automaton; hot phrases are sums and minima, never collected groups.  The 64-bit word
-hashes only choose and count anchors, which are matched by their words; runs and windows are compared by 96-bit BLAKE2b digests of their words (among
+hashes only choose and count anchors, which are matched by their words.  Windows are
+compared by 96 bits, made of their words' 128-bit BLAKE2b digests by doubling: two spans
+side by side are mixed into the span of both, so a window of 20 costs five mixes (among
 10 ** 13 windows, 100 TB or so, the chance that any two of different words meet is about
-one in a thousand), rows by the MD5 of id and text.
+one in a thousand).  Rows are compared by the MD5 of id and text.
 
 Defined cases: null and empty texts hold no words; documents below ``window`` words
 lose nothing; a null id sorts before all others; rows that repeat id and text are
@@ -34,10 +36,9 @@ table gives an empty result; other columns pass through.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import ahocorasick
 import numpy as np
@@ -46,19 +47,29 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.text import drop_caches, plain_words, release_memory, row_key
+from tidewell.llm.text import drop_caches, release_memory, row_key
 from tidewell.plans.scratch import broadcast_if_small, discard, materialize
 
 ANCHOR, SHARD_BYTES, BLOCK = 8, 4 << 20, 1 << 16
+#: Bytes of texts whose words are hashed together.
+GROUP_BYTES = 1 << 18
 #: A place is a document's base plus a word's position: bases within a range
 #: partition add up text bytes, and the partition's number stands above these bits.
 PART_BITS = 40
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_PARTS = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+#: Bytes of a window's digest; odd factors of its two lanes; runs and windows that travel in one batch.
+DIGEST, _LANES, RUNS, WINDOWS = 12, (_MULT, np.uint64(0xC2B2AE3D27D4EB4F)), 1 << 16, 1 << 20
 _BASE = 0xBF58476D1CE4E5B9
 _POWERS, _INVERSES = (np.multiply.accumulate(np.full(BLOCK, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_TO_SPACE = bytes(0x20 if _SPACE[b] else b for b in range(256))
+
+
+def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every plain word, and the byte after its last."""
+    space = np.ones(len(data) + 2, bool)
+    np.take(_SPACE, np.frombuffer(data, np.uint8), out=space[1:-1])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    return edge[::2], edge[1::2]
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +78,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     Words are taken some ``BLOCK`` bytes at a time, as differences of running sums;
     a longer word is hashed alone.
     """
-    raw = np.frombuffer(data, np.uint8)
-    space = np.ones(len(raw) + 2, bool)
-    np.take(_SPACE, raw, out=space[1:-1])
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edge[::2], edge[1::2]
+    starts, ends = word_edges(data)
+    return _hashes_between(np.frombuffer(data, np.uint8), starts, ends), ends - starts
+
+
+def _hashes_between(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sizes = ends - starts
     out, k = np.empty(len(starts), np.uint64), 0
     while k < len(starts):
@@ -89,7 +100,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         h *= _MIX
         out[k:end] = h ^ (h >> np.uint64(29))
         k = end
-    return out, sizes
+    return out
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -119,9 +130,49 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return phrases, at
 
 
-def _ends(sizes: np.ndarray) -> np.ndarray:
-    """Where each word starts in the words joined by one space, and one place beyond the end."""
-    return np.r_[0, np.cumsum(sizes + 1)]
+def window_digests(lanes: np.ndarray, window: int) -> np.ndarray:
+    """``DIGEST`` bytes for every ``window`` consecutive words, from two 64-bit lanes a word.
+
+    ``span`` holds the digests of 1, 2, 4, .. words from each place, and a window is put
+    together from those that its length is the sum of.
+    """
+    n, out = lanes.shape[1] - window + 1, []
+    for span, factor in zip(lanes, _LANES, strict=True):
+        whole, done, width = None, 0, 1
+        while True:
+            if window & width:
+                part = span[done : done + n]
+                whole, done = part if whole is None else _mixed(whole, part, factor), done + width
+            if 2 * width > window:
+                break
+            span, width = _mixed(span[:-width], span[width:], factor), 2 * width
+        out.append(whole)
+    return np.ascontiguousarray(np.stack(out, axis=1)).view(np.uint8)[:, :DIGEST]
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """One 64-bit value for each pair; the order of the two counts."""
+    h = a * factor
+    h += b
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _anchor_columns(group: list[tuple[int, int, bytes]], window: int) -> list[np.ndarray]:
+    """(shard, anchor, row, pos) of texts that are hashed as one; windows across two texts count for neither."""
+    shards, rows, texts = zip(*group, strict=True)
+    data = b" ".join(texts)
+    starts, ends = word_edges(data)
+    begins = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]]))
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.r_[begins, len(starts)]))
+    if len(starts) < window:
+        return [np.empty(0, t) for t in (np.int32, np.int64, np.int64, np.int32)]
+    phrases, at = anchors(_hashes_between(np.frombuffer(data, np.uint8), starts, ends), window)
+    own = np.flatnonzero(np.bincount(at[owner[: len(at)] == owner[window - 1 :]], minlength=1))
+    by = owner[own]
+    return [np.array(shards, np.int32)[by], phrases[own].view(np.int64), np.array(rows, np.int64)[by], (own - begins[by]).astype(np.int32)]
 
 
 def _emit_anchors(window: int):
@@ -130,14 +181,14 @@ def _emit_anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches()
         for batch in batches:
-            found = []
-            for shard, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                h, _ = word_hashes(text.as_py() or b"")
-                if len(h) < window:
-                    continue
-                phrases, at = anchors(h, window)
-                own = np.flatnonzero(np.bincount(at))
-                found.append((np.full(len(own), shard, np.int32), phrases[own].view(np.int64), np.full(len(own), row, np.int64), own.astype(np.int32)))
+            found, group, size, last = [], [], 0, batch.num_rows - 1
+            texts = batch.column(2).cast(pa.binary())
+            for k, (shard, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                group.append((shard, row, texts[k].as_py() or b""))
+                size += len(group[-1][2])
+                if size >= GROUP_BYTES or k == last:
+                    found.append(_anchor_columns(group, window))
+                    group, size = [], 0
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["shard", "anchor", "row", "pos"])
 
@@ -160,22 +211,120 @@ def _symbols(ids: np.ndarray) -> str:
     return pairs.tobytes().decode("utf-32-le")
 
 
+class Words:
+    """The words of a shard, numbered from 1 as they come."""
+
+    def __init__(self) -> None:
+        self.ids: dict[bytes, int] = defaultdict(count(1).__next__)
+
+    def number(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
+
+
+class Lanes:
+    """Two 64-bit halves of the digests of words, by number, made when first asked for."""
+
+    def __init__(self, words: Words) -> None:
+        self.words, self.known = list(words.ids), np.r_[True, np.zeros(len(words.ids), bool)]
+        self.halves = np.zeros((2, len(words.ids) + 1), np.uint64)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        new = np.unique(ids[~self.known[ids]])
+        if len(new):
+            digests = b"".join([hashlib.blake2b(self.words[i - 1], digest_size=16).digest() for i in new.tolist()])
+            self.halves[:, new] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+            self.known[new] = True
+        return self.halves[:, ids]
+
+
 class Phrases:
     """An automaton over words, compiled from phrases of ``ANCHOR`` words each."""
 
-    def __init__(self, phrases: list[bytes]) -> None:
-        words = b" ".join(phrases).split()
-        self.ids = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
-        symbols = _symbols(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
+    def __init__(self, phrases: list[bytes], words: Words | None = None) -> None:
+        self.words = words or Words()
+        ids = self.words.number(b" ".join(phrases).split())
+        symbols = _symbols(ids)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for k in range(0, len(symbols), 2 * ANCHOR):
             self.automaton.add_word(symbols[k : k + 2 * ANCHOR])
         self.automaton.make_automaton()
+        self.own = np.zeros(len(self.words.ids) + 1, np.int32)
+        self.own[ids] = ids
 
     def starts(self, words: list[bytes]) -> list[int]:
-        """Every place where a phrase begins; other words than those of phrases are all alike."""
-        ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
-        return [end // 2 - ANCHOR + 1 for end, _ in self.automaton.iter(_symbols(ids))]
+        """Every place where a phrase begins."""
+        return self.places(np.fromiter(map(self.words.ids.get, words, repeat(0)), np.int32, len(words))).tolist()
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """The same for the numbers of words.
+
+        Words of no phrase are all alike, and of some that stand together one is read.
+        """
+        own = self.own[ids]
+        read = np.flatnonzero((own > 0) | (np.r_[1, own[:-1]] > 0))
+        ends = np.fromiter((end for end, _ in self.automaton.iter(_symbols(own[read]))), np.int64)
+        return read[ends // 2] - ANCHOR + 1
+
+
+def _runs(data: bytes, ids: np.ndarray, sizes: list[int], found: Phrases, lanes: Lanes, window: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """Candidate windows of texts joined to ``data``, with so many words each, by runs that share an anchor.
+
+    Yields (digests of runs, text, first windows, numbers of windows, all windows' digests)
+    for some ``RUNS`` runs at a time.
+    """
+    owner, begins = np.repeat(np.arange(len(sizes)), sizes), np.cumsum([0, *sizes[:-1]])
+    starts = found.places(ids) if len(ids) >= window else []
+    if not len(starts):
+        return
+    starts = starts[owner[starts] == owner[starts + ANCHOR - 1]]
+    h, _ = word_hashes(data)
+    located, at = np.zeros(len(h), bool), anchors(h, window)[1]
+    located[starts] = True
+    cand = np.flatnonzero(located[at] & (owner[: len(at)] == owner[window - 1 :]))
+    if not len(cand):
+        return
+    first = np.flatnonzero(np.r_[True, np.diff(at[cand]) != 0])
+    edges = np.r_[first, len(cand)]
+    for k in range(0, len(first), RUNS):
+        own = edges[k : k + RUNS + 1]
+        a, b = cand[own[0]], cand[own[-1] - 1] + 1
+        here = cand[own[0] : own[-1]] - a
+        need = removed_mask(b - a + window - 1, here, np.ones(len(here), np.int64), window)
+        halves = lanes.of(np.where(need, ids[a : b + window - 1], 0))
+        raw = window_digests(halves, window)[here].tobytes()
+        cuts = ((own - own[0]) * DIGEST).tolist()
+        keys = [hashlib.blake2b(raw[i:j], digest_size=DIGEST).digest() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        begin = cand[own[:-1]]
+        by = owner[begin]
+        yield keys, by, (begin - begins[by]).astype(np.int32), np.diff(own).astype(np.int32), raw
+
+
+def _groups(order: list[tuple[int, int]], sizes: list[int]) -> Iterator[list[tuple[int, int]]]:
+    """(base, text) in order, as many at a time as hold some ``GROUP_BYTES``."""
+    group, held = [], 0
+    for base, k in order:
+        group.append((base, k))
+        held += sizes[k]
+        if held >= GROUP_BYTES:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def _binaries(raw: bytes) -> pa.Array:
+    """``DIGEST`` bytes each as a binary column."""
+    n = len(raw) // DIGEST
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * DIGEST, DIGEST, dtype=np.int32)), pa.py_buffer(raw)])
+
+
+def _run_batch(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """One batch of (runs' digests, base, starts, numbers, windows' digests, whether they travel) of some texts."""
+    keys, bases, starts, numbers, windows, fresh = zip(*found, strict=True)
+    flags, sizes = np.concatenate(fresh), np.concatenate(numbers)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(flags, sizes, 0))].astype(np.int32)), _binaries(b"".join(windows)), mask=pa.array(~flags))
+    columns = [_binaries(b"".join([x for k in keys for x in k])), pa.array(np.concatenate(bases)), pa.array(np.concatenate(starts)), pa.array(sizes), lists]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _locate(window: int):
@@ -190,40 +339,36 @@ def _locate(window: int):
             places[row].append(pos)
         if not places:
             return kinds.empty_table()
-        texts, split, phrases = docs.column("text").cast(pa.binary()), [], set()
+        texts, ids, phrases, numbers = docs.column("text").cast(pa.binary()), [], set(), Words()
         for row, text in zip(docs.column("row").to_pylist(), texts, strict=True):
-            split.append((text.as_py() or b"").split())
-            phrases.update(b" ".join(split[-1][p : p + ANCHOR]) for p in places.get(row, ()) if p + ANCHOR <= len(split[-1]))
+            words = (text.as_py() or b"").split()
+            ids.append(numbers.number(words))
+            phrases.update(b" ".join(words[p : p + ANCHOR]) for p in places.get(row, ()) if p + ANCHOR <= len(words))
         if not phrases:
             return kinds.empty_table()
-        out, seen, digest = [], set(), hashlib.blake2b
-        found = Phrases(sorted(phrases))
-        for base, k in sorted((bases[key], k) for k, key in enumerate(docs.column("row_key").to_pylist())):
-            words = split[k]
-            starts = found.starts(words) if len(words) >= window else []
-            if not starts:
-                continue
-            data = texts[k].as_py()
-            h, sizes = word_hashes(data)
-            located, at = np.zeros(len(h), bool), anchors(h, window)[1]
-            located[starts] = True
-            cand = np.flatnonzero(located[at])
-            if not len(cand):
-                continue
-            joined, ends = b" ".join(words), _ends(sizes).tolist()
-            first = np.flatnonzero(np.r_[True, np.diff(at[cand]) != 0])
-            last = np.r_[first[1:], len(cand)] - 1
-            for i, j in zip(cand[first].tolist(), cand[last].tolist(), strict=True):
-                run_digest, fresh = digest(joined[ends[i] : ends[j + window] - 1], digest_size=12).digest(), None
-                if run_digest not in seen:
-                    seen.add(run_digest)
-                    fresh = [digest(joined[a : b - 1], digest_size=12).digest() for a, b in zip(ends[i : j + 1], ends[i + window : j + window + 1], strict=True)]
-                out.append((run_digest, base, i, j - i + 1, fresh))
-        columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-        made = pa.table([pa.array(x, f.type) for x, f in zip(columns, kinds, strict=True)], schema=kinds)
-        del found, out, seen, split, columns
+        found, lanes, seen, batches, made, held = Phrases(sorted(phrases), numbers), Lanes(numbers), set(), [], [], 0
+        order = sorted((bases[key], k) for k, key in enumerate(docs.column("row_key").to_pylist()))
+        for group in _groups(order, pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            data, words = b" ".join([texts[k].as_py() or b"" for _, k in group]), [ids[k] for _, k in group]
+            places_of = np.array([base for base, _ in group], np.int64)
+            for keys, by, first, sizes, raw in _runs(data, np.concatenate(words), [len(w) for w in words], found, lanes, window):
+                fresh = np.zeros(len(keys), bool)
+                for i, key in enumerate(keys):
+                    if key not in seen:
+                        seen.add(key)
+                        fresh[i] = True
+                travel = np.frombuffer(raw, np.uint8).reshape(-1, DIGEST)[np.repeat(fresh, sizes)].tobytes()
+                made.append((keys, places_of[by], first, sizes, travel, fresh))
+                held += len(raw) // DIGEST
+                if held >= WINDOWS:
+                    batches.append(_run_batch(made, kinds))
+                    made, held = [], 0
+        if made:
+            batches.append(_run_batch(made, kinds))
+        out = pa.Table.from_batches(batches, kinds)
+        del found, lanes, seen, ids, numbers, made, batches
         release_memory()
-        return made
+        return out
 
     return run
 
@@ -289,32 +434,34 @@ def removed_mask(n: int, starts: np.ndarray, counts: np.ndarray, window: int) ->
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """Rows of ``docs`` as struct ``row`` with n_words, n_removed, kept_sha256 and kept_text.
+    """Rows of ``docs`` as struct ``row``, without the text, with n_words, n_removed, kept_sha256 and kept_text.
 
     ``kept_text`` is the text itself where nothing was removed, else the kept words
     with the white space after them.
     """
     lost = removals(docs, id_col, text, window).withColumnRenamed("row_key", "lost_key")
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
     joined = docs.select(own, row_key(id_col, text).alias("key"), F.col(text).alias("body")).join(lost, F.col("key") == F.col("lost_key"), "left")
     names = ["row", "n_words", "n_removed", "kept_sha256", "kept_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for body, spans in zip(batch.column(1), batch.column(2), strict=True):
+            for body, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 body = body.as_py()
-                words = plain_words(body)
+                words = (body or b"").split()
                 kept, kept_text, n = words, body, 0
                 if spans.is_valid:
                     gone = removed_mask(len(words), *(spans.values.field(k).to_numpy() for k in ("a", "n")), window)
-                    n = int(gone.sum())
-                    kept = [w for w, g in zip(words, gone, strict=True) if not g]
-                    kept_text = "".join(p for p, g in zip(_PARTS.findall(body), gone, strict=True) if not g)
+                    n, at = int(gone.sum()), np.r_[word_edges(body)[0], len(body)].tolist()
+                    turns = np.flatnonzero(np.diff(np.r_[True, gone, True])).tolist()
+                    stays = list(zip(turns[::2], turns[1::2], strict=True))
+                    kept, kept_text = [w for a, b in stays for w in words[a:b]], b"".join([body[at[a] : at[b]] for a, b in stays])
                 rows.append((len(words), n, hashlib.sha256(b" ".join(kept)).hexdigest(), kept_text))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made[:3], made[3].cast(pa.string())], names)
 
     row_type = joined.schema["row"].dataType.simpleString()
     return joined.select("row", "body", "spans").mapInArrow(run, f"row {row_type}, n_words long, n_removed long, kept_sha256 string, kept_text string")
