@@ -216,3 +216,28 @@ def test_closer_words_score_higher(spark):
     articles = articles_of(spark, rows)
     got = fulltext.cover_density(queries_of(spark, "alpha beta", user=1), fulltext.build(articles), articles, feeds_of(spark, (1, 1)))
     assert {r.article_id: (r.n_covers, round(r.score, 6)) for r in got.collect()} == {1: (1, 0.2), 2: (1, 0.05), 3: (1, 1.0), 4: (2, 0.4)}
+
+
+def test_folding_leaves_marks_out_one_by_one():
+    """The same as a look at each character, marks outside the first plane included."""
+    import unicodedata
+
+    from tidewell.functions.stem import fold
+
+    text = "Élan à l'œuvre Straße İÇ á̂b \U0001e8d0x़y [-^]\\ ְ"
+    assert fold(text) == "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+
+
+def test_leaves_of_one_term_need_no_shuffle(spark):
+    """Their places are the postings' own; phrases and prefixes are still put together."""
+    articles = spark.createDataFrame([(1, "ab cd ab", "cd"), (2, "abc", None)], "id long, title string, content string")
+    index = fulltext.build(articles)
+
+    def plan(query: str) -> tuple[str, list]:
+        read = fulltext.parsed(spark.createDataFrame([(1, None, query)], "query_id long, user_id long, query string"))
+        hits = fulltext.leaf_hits(read, index)
+        return hits._jdf.queryExecution().optimizedPlan().toString(), sorted((r.article_id, r.field, r.at) for r in hits.collect())
+
+    text, rows = plan("ab OR cd")
+    assert "Aggregate" not in text and rows == [(1, "content", [0]), (1, "title", [0, 2]), (1, "title", [1])]
+    assert plan("ab*")[1] == [(1, "title", [0, 2]), (2, "title", [0])] and plan('"cd ab"')[1] == [(1, "title", [1])]
