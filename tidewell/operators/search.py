@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewell.functions.vectors import mean_vector
-from tidewell.plans.scratch import broadcast_if_small
+from tidewell.plans.scratch import BROADCAST_BYTES, broadcast_if_small, row_bytes
 
 K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}]+"
@@ -23,21 +23,25 @@ def bm25(articles: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, article_id, score): BM25 of every article that holds a query term.
 
     ``queries``: (query_id, term).  Every word carries its article's length, so that only
-    postings of query terms are shuffled; the number of articles and their mean length come
+    postings of query terms are shuffled, and once: by article, so that counting words and
+    summing weights need no further one.  The number of articles and their mean length come
     as one row.
     """
     words = F.regexp_extract_all(F.lower(F.col("content")), F.lit(WORD), 0)
     sized = articles.select("article_id", words.alias("words"))
-    wanted = broadcast_if_small(queries.select("term").distinct())
-    postings = sized.select("article_id", F.size("words").alias("size"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    postings = postings.groupBy("article_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    queries = broadcast_if_small(queries.distinct())
+    terms = queries.select("term").distinct()
+    few = row_bytes(terms) <= BROADCAST_BYTES
+    held = sized.select("article_id", F.size("words").alias("size"), F.explode("words").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    postings = held.repartition("article_id").groupBy("article_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = F.broadcast(df) if few else df  # no more rows than there are terms
     whole = articles.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.regexp_count(F.lower(F.col("content")), F.lit(WORD))).alias("total"))
     average = F.greatest("total", F.lit(1)) / F.greatest("n", F.lit(1.0))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / average))
     scored = postings.join(df, "term").join(F.broadcast(whole)).select("article_id", "term", weight.alias("w"))
-    return queries.distinct().join(scored, "term").groupBy("query_id", "article_id").agg(F.sum("w").alias("score"))
+    return scored.join(queries, "term").groupBy("query_id", "article_id").agg(F.sum("w").alias("score"))
 
 
 def rank_score(hits: DataFrame, limit: int) -> DataFrame:
