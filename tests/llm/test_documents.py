@@ -189,6 +189,22 @@ def test_crowded_family_against_brute_force(spark, monkeypatch, crowd):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_near_groups_are_found_by_fingerprints_first(spark, monkeypatch):
+    """Texts within two bits are linked by multi-index hashing and leave no pair to the shingles."""
+    tried, check = [], near.verified
+
+    def verified(pairs, *rest):
+        tried.append(pairs.count())
+        return check(pairs, *rest)
+
+    monkeypatch.setattr(near, "verified", verified)
+    base = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join([*base, f"end{k}"]), "a") for k in range(3)] + [(9, words(9, 80), "b")]
+    kept = near.keep_one_of_each(spark.createDataFrame(rows_of(*rows), DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 9]
+    assert tried[0] >= 2 and not any(tried[1:])
+
+
 # --- substring ---------------------------------------------------------------
 
 

@@ -10,6 +10,11 @@ Shingles that a sample of the texts repeats come last in that order, the more of
 later, so that what a template's pages have in common seldom makes candidates; the
 sample has a say in the number of candidates only.
 
+SimHash comes first: sets whose fingerprints (bitwise majorities of their hashes) differ by two
+bits at most are found by multi-index hashing (``simhash``), checked exactly, and those linked
+are one group from then on.  At a similarity of 0.8 fingerprints differ by some ten bits, so
+the rest is found through shingles that more than one group holds.
+
 Crowded shingles need no cap.  While they hold many pairs of texts of different groups,
 each shingle's texts are compared with one of them, another for every shingle and round,
 and the links found are joined to groups; rounds end when they no longer halve that
@@ -35,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewell.llm import simhash
 from tidewell.llm.components import components
 from tidewell.llm.text import drop_caches, encode, release_memory, row_key
 from tidewell.plans.scratch import broadcast_if_small, discard, materialize
@@ -90,9 +96,9 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def profiles(texts: DataFrame, least: Fraction) -> DataFrame:
-    """(doc, key, set, n, sketch, prefix) of rows (doc, key, text).
+    """(doc, key, set, n, fp, sketch, prefix) of rows (doc, key, text).
 
-    ``set`` is a digest of the shingle set, ``n`` its size, ``prefix`` its first shingles in
+    ``set`` is a digest of the shingle set, ``n`` its size, ``fp`` its fingerprint, ``prefix`` its first shingles in
     the common order, as many as a similar set cannot all lack.
     """
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
@@ -102,7 +108,7 @@ def profiles(texts: DataFrame, least: Fraction) -> DataFrame:
         drop_caches()
         keys, counts = common.value
         for batch in batches:
-            digests, sizes, sketches, prefixes = [], [], [], []
+            digests, sizes, prints, sketches, prefixes = [], [], [], [], []
             for text in batch.column("text"):
                 h = shingle_set(text.as_py())
                 often = np.zeros(len(h), np.int64)
@@ -111,23 +117,24 @@ def profiles(texts: DataFrame, least: Fraction) -> DataFrame:
                     often = np.where(keys[found] == h, counts[found], 0)
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sizes.append(len(h))
+                prints.append(simhash.majority(h.astype(">i8").view(">u8")))
                 sketches.append(sketch(h))
                 prefixes.append(h[np.lexsort((h, often))[: len(h) - -(-len(h) * num // den) + 1]])
             offsets = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
             words = np.array(sketches, np.int64).reshape(-1, WORDS)
-            columns = [batch.column("doc"), batch.column("key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(words[:, k]) for k in range(WORDS)]]
+            columns = [batch.column("doc"), batch.column("key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), *[pa.array(words[:, k]) for k in range(WORDS)]]
             flat = pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, flat)], ["doc", "key", "set", "n", *SKETCH, "prefix"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, flat)], ["doc", "key", "set", "n", "fp", *SKETCH, "prefix"])
         release_memory()
 
     kind = texts.schema["doc"].dataType.simpleString()
     words = ", ".join(f"{c} long" for c in SKETCH)
-    return texts.select("doc", "key", "text").mapInArrow(run, f"doc {kind}, key binary, set binary, n int, {words}, prefix array<long>")
+    return texts.select("doc", "key", "text").mapInArrow(run, f"doc {kind}, key binary, set binary, n int, fp long, {words}, prefix array<long>")
 
 
 def classes_of(wide: DataFrame) -> DataFrame:
     """One row for each distinct set, with an ``id`` of its own and its least document."""
-    kept = [F.first(c).alias(c) for c in ("n", *SKETCH, "prefix")]
+    kept = [F.first(c).alias(c) for c in ("n", "fp", *SKETCH, "prefix")]
     sets = materialize(wide.groupBy("set").agg(F.min(F.struct("doc", "key")).alias("least"), *kept), "sets")
     salt = 0
     while True:  # until no two digests get one id
@@ -175,14 +182,32 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, repeated: b
     return links
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(u, v) that connect all classes whose fingerprints are linked, through one class of each fingerprint."""
+    heads = materialize(classes.groupBy("fp").agg(F.min("id").alias("head")), "heads")
+    same = classes.select("id", "fp").join(heads, "fp").where("id != head").select(F.col("head").alias("u"), F.col("id").alias("v"))
+    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in "uv")
+    linked = simhash.links(heads.select("fp")).join(a, "u").join(b, "v").select(F.least("head_u", "head_v").alias("u"), F.greatest("head_u", "head_v").alias("v"))
+    pairs = materialize(same.union(linked), "fingerprint-pairs")
+    discard(heads)
+    return pairs
+
+
 def near_links(classes: DataFrame, texts: DataFrame, repeated: bool, least: Fraction) -> DataFrame:
     """(u, v) pairs of class ids that connect all whose sets are similar."""
-    every = classes.select("id", F.posexplode("prefix").alias("at", "h"))
-    shared = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "shared")
+    tried = fingerprint_pairs(classes)
+    links = verified(tried, classes, texts, repeated, least)
+    discard(tried)
+    groups = components(links).withColumnRenamed("node", "id")
+    named = materialize(classes.select("id", "n", *SKETCH, "prefix").join(groups, "id", "left").withColumn("label", F.coalesce("label", "id")), "named")
+    discard(groups)
+    places = F.transform("prefix", lambda h, at: F.struct(at.alias("at"), h.alias("h"), F.get("prefix", at - 1).alias("prev")))
+    every = named.select("id", "label", F.inline(places))
+    shared = materialize(every.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one != other").select("h"), "shared")
     held = every.join(broadcast_if_small(shared), "h", "left_semi")  # most cells go here, so sizes and sketches come after
-    cells = materialize(held.join(broadcast_if_small(classes.select("id", "n", *SKETCH)), "id"), "cells")
-    discard(shared)
-    links, before, labelled = None, None, cells.withColumn("label", F.col("id"))
+    labelled = materialize(held.join(broadcast_if_small(named.select("id", "n", *SKETCH)), "id"), "cells")
+    discard(shared, named)
+    before = None
     while True:
         groups = labelled.groupBy("h", "label").agg(F.count(F.lit(1)).cast("double").alias("k"))
         shingles = groups.groupBy("h").agg(
@@ -191,7 +216,7 @@ def near_links(classes: DataFrame, texts: DataFrame, repeated: bool, least: Frac
         shingles = materialize(shingles.where("groups > 1"), "crowds")
         mixed = materialize(labelled.join(shingles.select("h", "largest"), "h"), "mixed")
         held, work = shingles.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
-        discard(shingles, labelled, cells)
+        discard(shingles, labelled)
         if not work or work <= CROWD * held or (before and work > before / 2):
             break
         before = work
@@ -200,19 +225,20 @@ def near_links(classes: DataFrame, texts: DataFrame, repeated: bool, least: Frac
         stars = mixed.alias("a").join(first.select("h", "b.*").alias("b"), "h").where((F.col("a.label") != F.col("b.label")) & _room("a", "b", least))
         stars = materialize(_ends(stars), "starpairs")
         new = verified(stars, classes, texts, repeated, least)
-        links, old = (new, []) if links is None else (materialize(links.union(new), "starlinks"), [links, new])
+        links, old = materialize(links.union(new), "starlinks"), [links, new]
         discard(stars, *old)
         labels = components(links).withColumnRenamed("node", "id")
         labelled = materialize(mixed.drop("label", "largest").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
         discard(mixed)
     others = mixed.where("label != largest").alias("a").join(mixed.alias("b"), "h")
     once = (F.col("b.label") == F.col("b.largest")) | (F.col("a.label") < F.col("b.label"))
-    others = others.where((F.col("a.label") != F.col("b.label")) & once & _room("a", "b", least))
+    first = F.coalesce(F.col("a.prev") != F.col("b.prev"), F.lit(True))  # else both hold an earlier shingle in common, which pairs them
+    others = others.where((F.col("a.label") != F.col("b.label")) & once & first & _room("a", "b", least))
     pairs = materialize(_ends(others), "pairs")
     discard(mixed)
     found = verified(pairs, classes, texts, repeated, least)
     discard(pairs)
-    return found if links is None else links.union(found)
+    return links.union(found)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:

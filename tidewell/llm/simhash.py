@@ -44,7 +44,11 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in shingles], dtype=">u8")
+    return majority(np.array([digest(s, 42) for s in shingles], dtype=">u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits set in over half of the big-endian unsigned hashes, as a signed number."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 8192):
         part = h[at : at + 8192]
