@@ -93,11 +93,18 @@ def rfc3339(at: Column) -> Column:
 
 
 def shingle_overlap(a: Column, b: Column, size: int = 3) -> Column:
-    """Whether any ``size`` consecutive words of ``a`` occur in ``b``; true for shorter texts."""
-    w = F.filter(F.split(F.lower(a), r"\s+"), lambda x: x != "")
-    n = F.size(w) - size
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.when(n < 0, True).otherwise(F.exists(grams, lambda g: F.contains(F.lower(b), g)))
+    """Whether any ``size`` consecutive words of ``a`` occur in ``b``; true for shorter texts.
+
+    Both texts are split and lower-cased once and handed on, not again for every word.
+    """
+
+    def overlaps(x: Column) -> Column:
+        w, n = x["words"], F.size(x["words"]) - size
+        places = F.sequence(F.lit(1), F.greatest(n + 1, F.lit(1)))
+        return F.when(n < 0, True).otherwise(F.exists(places, lambda i: F.contains(x["other"], F.array_join(F.slice(w, i, size), " "))))
+
+    words = F.filter(F.split(F.lower(a), r"\s+"), lambda x: x != "")
+    return F.get(F.transform(F.array(F.struct(words.alias("words"), F.lower(b).alias("other"))), overlaps), F.lit(0))
 
 
 def best_date(published: Column, fetched: Column) -> Column:
