@@ -68,6 +68,14 @@ def test_bad_host_only_loses_soft_failures(spark):
     assert {d for d, k in judged.items() if k} == ids
 
 
+def test_a_task_of_the_quality_stage_feeds_one_python_worker(spark):
+    docs = spark.createDataFrame(rows_of((1, words(1, 90), "a"), (2, "short", "a"), (3, words(2, 90), None)), DOCS)
+    kept = quality.keep_good(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+    assert {r.doc_id for r in kept.collect()} == {1, 3}
+
+
 # --- simhash -----------------------------------------------------------------
 
 

@@ -203,7 +203,8 @@ def near_links(classes: DataFrame, texts: DataFrame, repeated: bool, least: Frac
     discard(groups)
     places = F.transform("prefix", lambda h, at: F.struct(at.alias("at"), h.alias("h"), F.get("prefix", at - 1).alias("prev")))
     every = named.select("id", "label", F.inline(places))
-    shared = materialize(every.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one != other").select("h"), "shared")
+    bare = named.select("label", F.explode("prefix").alias("h"))  # every shingle goes here, so no struct is made for it
+    shared = materialize(bare.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one != other").select("h"), "shared")
     held = every.join(broadcast_if_small(shared), "h", "left_semi")  # most cells go here, so sizes and sketches come after
     labelled = materialize(held.join(broadcast_if_small(named.select("id", "n", *SKETCH)), "id"), "cells")
     discard(shared, named)

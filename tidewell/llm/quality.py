@@ -67,12 +67,18 @@ def _signals(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
-@pandas_udf(StructType([StructField(c, LongType()) for c in SIGNALS]))
-def quality_signals(text: pd.Series) -> pd.DataFrame:
+def _signals_of(text: pd.Series) -> pd.DataFrame:
     drop_caches()
     return pd.DataFrame([_signals(t) for t in text], columns=SIGNALS, dtype="int64")
 
 
+_TYPE = StructType([StructField(c, LongType()) for c in SIGNALS])
+quality_signals = pandas_udf(_signals_of, _TYPE)
+#: For rows that a filter on the signals follows: pushed below them it would have each task compute
+#: them twice, by two Python workers at a time.
+signals_once = pandas_udf(_signals_of, _TYPE).asNondeterministic()
+
+
 def base_failed(q: Column, min_words: int = 50, max_repeat_pct: int = 50) -> Column:
     """The hard rules: too short, or mostly repeated 3-word windows."""
     return (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > max_repeat_pct * q["n_words"])
@@ -140,11 +146,11 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
     CPU but writes no copy of the texts.
     """
     cols = docs.columns
-    own, mark = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), quality_signals(F.col(text)).alias("q")
-    rows = docs.select(own, F.col(host).alias("host"), mark)
+    own = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
+    rows = docs.select(own, F.col(host).alias("host"), signals_once(F.col(text)).alias("q"))
     q = F.col("q")
     failed = base_failed(q) | soft_failed(q)
-    verdicts = host_verdicts(docs.select(F.col(host).alias("host"), mark).select("host", failed.alias("failed")))
+    verdicts = host_verdicts(docs.select(F.col(host).alias("host"), quality_signals(F.col(text)).alias("q")).select("host", failed.alias("failed")))
     verdicts = broadcast_if_small(verdicts.select(F.col("host").alias("__host"), "host_bad"))
     bad = F.coalesce(F.col("host_bad"), F.lit(False))
     kept = rows.where(~base_failed(q)).join(verdicts, F.col("host") == F.col("__host"), "left").where(~(bad & soft_failed(q)))
