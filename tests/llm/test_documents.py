@@ -213,6 +213,58 @@ def test_near_groups_are_found_by_fingerprints_first(spark, monkeypatch):
     assert tried[0] >= 2 and not any(tried[1:])
 
 
+def written_rows(monkeypatch) -> dict[str, int]:
+    """Rows of the last scratch table of each name that the stage writes."""
+    rows, write = {}, near.materialize
+
+    def materialize(df, label):
+        out = write(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near, "materialize", materialize)
+    return rows
+
+
+def test_a_group_of_near_copies_leaves_no_cells(spark, monkeypatch):
+    """Copies whose fingerprints are far apart are joined by MinHash, before each of their shingles is a row."""
+    rows = written_rows(monkeypatch)
+    base = [f"w{i}" for i in range(400)]
+    copies = []
+    for k in range(120):
+        copy = list(base)
+        for at in (7 * k % 390, (7 * k + 130) % 390, (7 * k + 260) % 390):
+            copy[at] = f"c{k}x{at}"
+        copies.append((k, " ".join(copy), "a"))
+    assert len({near.simhash.majority(near.shingle_set(t).astype(">i8").view(">u8")) for _, t, _ in copies}) > 100
+    kept = near.keep_one_of_each(spark.createDataFrame(rows_of(*copies, (500, words(7, 80), "b")), DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 500]
+    assert rows["cells"] < 120 * len(base) // 50
+
+
+def test_sets_travel_only_for_pairs_that_wide_sketches_leave(spark, monkeypatch):
+    """Pairs that share half their shingles are dropped before their sets are shuffled."""
+    rows = written_rows(monkeypatch)
+    half = [f"t{i}" for i in range(1200)]
+    pages = [(k, " ".join(half + [f"p{k}x{i}" for i in range(1200)]), "a") for k in range(12)]
+    docs = spark.createDataFrame(rows_of(*pages), DOCS)
+    texts = docs.selectExpr("doc_id as doc", "cast(cast(doc_id as string) as binary) as key", "text")
+    classes = near.classes_of(near.profiles(texts, near.Fraction("0.8")))
+    a, b = classes.selectExpr("id as u"), classes.selectExpr("id as v")
+    found = near.verified(a.crossJoin(b).where("u < v"), classes, texts.select("key", "text"), False, near.Fraction("0.8"))
+    assert found.count() == 0 and rows["needed"] == 12 and rows["close"] == 0
+
+
+@pytest.mark.parametrize("more, alike", [(115, True), (125, True), (126, False), (140, False)])
+def test_sketches_of_two_widths_lose_no_pair(spark, more, alike):
+    """Sets of 500 shingles and of over 600 have sketches of 512 and 1024 bins; the limit is at 625."""
+    base = [[f"w{k}x{i}" for i in range(504)] for k in range(20)]
+    rows = [(2 * k, " ".join(b), "a") for k, b in enumerate(base)]
+    rows += [(2 * k + 1, " ".join(b + [f"v{k}x{i}" for i in range(more)]), "a") for k, b in enumerate(base)]
+    kept = sorted(r.doc_id for r in near.keep_one_of_each(spark.createDataFrame(rows_of(*rows), DOCS)).collect())
+    assert kept == (list(range(0, 40, 2)) if alike else list(range(40)))
+
+
 # --- substring ---------------------------------------------------------------
 
 

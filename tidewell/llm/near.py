@@ -13,7 +13,11 @@ sample has a say in the number of candidates only.
 SimHash comes first: sets whose fingerprints (bitwise majorities of their hashes) differ by two
 bits at most are found by multi-index hashing (``simhash``), checked exactly, and those linked
 are one group from then on.  At a similarity of 0.8 fingerprints differ by some ten bits, so
-the rest is found through shingles that more than one group holds.
+the rest is found through shared shingles.
+
+First through the least shingle of each set in ``MINS`` orders of all hashes (MinHash): the sets of
+different groups that one of them names are compared with one of these sets, which joins most groups of
+copies at a few rows a text; then through shingles of the prefixes that more than one group holds.
 
 Crowded shingles need no cap.  While they hold many pairs of texts of different groups,
 each shingle's texts are compared with one of them, another for every shingle and round,
@@ -22,7 +26,8 @@ number.  Then, in shingles that hold more than one group, all but the texts of t
 largest group are compared with all texts of other groups; pairs left out are connected
 already.  Two texts are paired only where enough shingles are left after the common one
 in both sets, and where the parity sketches of the sets do not rule the pair out (a bound,
-so no similar pair is lost).
+so no similar pair is lost).  Pairs are then held against sketches as wide as their sets are large,
+which rule out nearly all dissimilar ones, and whole sets travel for what is left.
 
 Defined cases: texts are told apart by their ASCII-lower-cased plain words; a text of up
 to five words is one shingle; texts without words are alike; of the rows of a group the
@@ -50,6 +55,8 @@ SAMPLE, COMMON = 16, 200_000
 #: Longs of a set's parity sketch, and their names.
 WORDS = 4
 SKETCH = [f"s{k}" for k in range(WORDS)]
+#: Odd factors that put the hashes in another order each; a set's least shingles in them are its MinHash keys.
+MINS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Star rounds go on while shingles hold more than this many pairs of different groups for each of their texts.
 CROWD = 8
 
@@ -65,16 +72,21 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(id, hashes) of rows (id, text)."""
+    """(id, n, wide, hashes) of rows (id, text); ``wide`` is a sketch of at least as many bins as the set has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column("text")]
-            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            flat = pa.array(np.concatenate(sets) if sets else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, flat)], ["id", "hashes"])
+            wide = [sketch(h, 1 << (max(0, len(h) - 1) // 64).bit_length()) for h in sets]
+            sizes = pa.array([len(h) for h in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, _lists(wide), _lists(sets)], ["id", "n", "wide", "hashes"])
+
+    return rows.select("id", "text").mapInArrow(run, "id long, n int, wide array<long>, hashes array<long>")
+
 
-    return rows.select("id", "text").mapInArrow(run, "id long, hashes array<long>")
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays) if arrays else [], pa.int64()))
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -86,19 +98,19 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts["h"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of a set's hashes in ``64 * WORDS`` bins.
+def sketch(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Parities of a set's hashes in ``64 * words`` bins (a power of two).
 
     Every bin in which two sets' parities differ holds a shingle of one of them only.
     """
-    odd = np.bincount(hashes & (64 * WORDS - 1), minlength=64 * WORDS).astype(np.uint8) & 1
+    odd = np.bincount(hashes & (64 * words - 1), minlength=64 * words).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
 
 def profiles(texts: DataFrame, least: Fraction) -> DataFrame:
-    """(doc, key, set, n, fp, sketch, prefix) of rows (doc, key, text).
+    """(doc, key, set, n, fp, sketch, mins, prefix) of rows (doc, key, text).
 
-    ``set`` is a digest of the shingle set, ``n`` its size, ``fp`` its fingerprint, ``prefix`` its first shingles in
+    ``set`` is a digest of the shingle set, ``n`` its size, ``fp`` its fingerprint, ``mins`` its MinHash keys, ``prefix`` its first shingles in
     the common order, as many as a similar set cannot all lack.
     """
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
@@ -108,7 +120,7 @@ def profiles(texts: DataFrame, least: Fraction) -> DataFrame:
         drop_caches()
         keys, counts = common.value
         for batch in batches:
-            digests, sizes, prints, sketches, prefixes = [], [], [], [], []
+            digests, sizes, prints, sketches, mins, prefixes = [], [], [], [], [], []
             for text in batch.column("text"):
                 h = shingle_set(text.as_py())
                 often = np.zeros(len(h), np.int64)
@@ -119,22 +131,21 @@ def profiles(texts: DataFrame, least: Fraction) -> DataFrame:
                 sizes.append(len(h))
                 prints.append(simhash.majority(h.astype(">i8").view(">u8")))
                 sketches.append(sketch(h))
+                mins.append(np.array([(h.view(np.uint64) * np.uint64(f)).min() for f in MINS] if len(h) else [], np.uint64).view(np.int64))
                 prefixes.append(h[np.lexsort((h, often))[: len(h) - -(-len(h) * num // den) + 1]])
-            offsets = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
             words = np.array(sketches, np.int64).reshape(-1, WORDS)
             columns = [batch.column("doc"), batch.column("key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), *[pa.array(words[:, k]) for k in range(WORDS)]]
-            flat = pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, flat)], ["doc", "key", "set", "n", "fp", *SKETCH, "prefix"])
+            yield pa.RecordBatch.from_arrays([*columns, _lists(mins), _lists(prefixes)], ["doc", "key", "set", "n", "fp", *SKETCH, "mins", "prefix"])
         release_memory()
 
     kind = texts.schema["doc"].dataType.simpleString()
     words = ", ".join(f"{c} long" for c in SKETCH)
-    return texts.select("doc", "key", "text").mapInArrow(run, f"doc {kind}, key binary, set binary, n int, fp long, {words}, prefix array<long>")
+    return texts.select("doc", "key", "text").mapInArrow(run, f"doc {kind}, key binary, set binary, n int, fp long, {words}, mins array<long>, prefix array<long>")
 
 
 def classes_of(wide: DataFrame) -> DataFrame:
     """One row for each distinct set, with an ``id`` of its own and its least document."""
-    kept = [F.first(c).alias(c) for c in ("n", "fp", *SKETCH, "prefix")]
+    kept = [F.first(c).alias(c) for c in ("n", "fp", *SKETCH, "mins", "prefix")]
     sets = materialize(wide.groupBy("set").agg(F.min(F.struct("doc", "key")).alias("least"), *kept), "sets")
     salt = 0
     while True:  # until no two digests get one id
@@ -168,17 +179,35 @@ def _ends(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
 
 
+def _apart(a: str, b: str) -> Column:
+    """Bins in which the parities of wide sketches differ; of two sizes the larger is folded once."""
+    least = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    a, b = (F.when(F.size(c) > least, F.zip_with(F.slice(c, 1, least), F.slice(c, least + 1, least), xor)).otherwise(F.col(c)) for c in (a, b))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda n, x: n + x)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, repeated: bool, least: Fraction) -> DataFrame:
-    """(u, v) of the pairs whose sets, made anew from the texts, are similar."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    needed = materialize(classes.select("id", F.col("least.key").alias("key")).join(ids, "id"), "needed")
+    """(u, v) of the pairs whose sets, made anew from the texts, are similar.
+
+    Sketches go to the pairs first; sets are shuffled only for pairs that these leave.
+    """
+    ends = lambda p: p.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    needed = materialize(classes.select("id", F.col("least.key").alias("key")).join(ends(pairs), "id"), "needed")
     found = texts.join(broadcast_if_small(needed), "key").select("id", "text")
     some = materialize(shingle_sets(found.dropDuplicates(["id"]) if repeated else found), "hashes")
-    a, b = (some.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "uv")
+    a, b = (some.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "uv")
+    n, m = F.col("n_u").cast("long"), F.col("n_v").cast("long")
+    sized = _enough(F.least(n, m), n, m, least)  # so that sketches differ by one doubling at most
+    close = sized & (_apart("wide_u", "wide_v") * (least.denominator + least.numerator) <= (n + m) * (least.denominator - least.numerator))
+    close = materialize(pairs.join(a, "u").join(b, "v").where(close).select("u", "v"), "close")
+    left = materialize(ends(close), "left")
+    sets = some.join(broadcast_if_small(left), "id", "left_semi")
+    a, b = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "uv")
     shared = F.size(F.array_intersect("hashes_u", "hashes_v"))
     enough = _enough(shared, F.size("hashes_u"), F.size("hashes_v"), least)
-    links = materialize(pairs.join(a, "u").join(b, "v").where(enough).select("u", "v"), "links")
-    discard(needed, some)
+    links = materialize(close.join(a, "u").join(b, "v").where(enough).select("u", "v"), "links")
+    discard(needed, some, close, left)
     return links
 
 
@@ -193,20 +222,39 @@ def fingerprint_pairs(classes: DataFrame) -> DataFrame:
     return pairs
 
 
+def minhash_pairs(classes: DataFrame, groups: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v): for each MinHash key, one class that holds it with those of other groups that do."""
+    named = classes.select("id", "n", *SKETCH, "mins").join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    keys = named.select("id", "label", F.posexplode("mins").alias("k", "key"))
+    first = keys.groupBy("k", "key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "k")).alias("b"), F.min("label").alias("one"), F.max("label").alias("other"))
+    first = first.where("one != other").select("k", "key", F.col("b.id").alias("centre"), F.col("b.label").alias("its"))
+    pairs = materialize(keys.join(first, ["k", "key"]).where("label != its").select("id", "centre").distinct(), "minpairs")
+    sized = classes.select("id", F.lit(0).alias("at"), "n", *SKETCH)
+    met = pairs.join(sized.alias("a"), "id").join(sized.withColumnRenamed("id", "centre").alias("b"), "centre").where(_room("a", "b", least))
+    found = materialize(met.select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct(), "minhash-pairs")
+    discard(pairs)
+    return found
+
+
 def near_links(classes: DataFrame, texts: DataFrame, repeated: bool, least: Fraction) -> DataFrame:
     """(u, v) pairs of class ids that connect all whose sets are similar."""
     tried = fingerprint_pairs(classes)
     links = verified(tried, classes, texts, repeated, least)
     discard(tried)
     groups = components(links).withColumnRenamed("node", "id")
+    tried = minhash_pairs(classes, groups, least)
+    new = verified(tried, classes, texts, repeated, least)
+    links, old = materialize(links.union(new), "links"), [links, new]
+    discard(tried, groups, *old)
+    groups = components(links).withColumnRenamed("node", "id")
     named = materialize(classes.select("id", "n", *SKETCH, "prefix").join(groups, "id", "left").withColumn("label", F.coalesce("label", "id")), "named")
     discard(groups)
-    places = F.transform("prefix", lambda h, at: F.struct(at.alias("at"), h.alias("h"), F.get("prefix", at - 1).alias("prev")))
-    every = named.select("id", "label", F.inline(places))
+    every = named.select("id", F.posexplode("prefix").alias("at", "h"))
     bare = named.select("label", F.explode("prefix").alias("h"))  # every shingle goes here, so no struct is made for it
     shared = materialize(bare.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one != other").select("h"), "shared")
-    held = every.join(broadcast_if_small(shared), "h", "left_semi")  # most cells go here, so sizes and sketches come after
-    labelled = materialize(held.join(broadcast_if_small(named.select("id", "n", *SKETCH)), "id"), "cells")
+    held = every.join(broadcast_if_small(shared), "h", "left_semi")  # most cells go here, so all that their rows lack comes after
+    prev = F.get("prefix", F.col("at") - 1).alias("prev")
+    labelled = materialize(held.join(named, "id").select("h", "id", "label", "at", prev, "n", *SKETCH), "cells")
     discard(shared, named)
     before = None
     while True:
