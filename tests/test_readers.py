@@ -7,8 +7,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import readers, shelf
+from tidewell.operators import reading, readers, shelf
 from tidewell.sources.star import Star, conform
+from tidewell.sources.tables import Tables
 
 DAY, USERS, ARTICLES = datetime(2024, 2, 1), 300, 400
 
@@ -73,3 +74,11 @@ def test_what_is_left(spark):
         assert {r.user_id: r.ids for r in readers.joined_ids(subs, articles, done).collect()} == {1: "2,3", None: "1,2"}
     finally:
         readers.LIGHT_BYTES = few
+
+
+def test_rules_hold_for_articles_that_are_not_subscribed(spark):
+    """User 1's rule against author 4 takes away article 30 of feed 10, which the user does not subscribe to."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.subscriptions.where("user_id = 1 AND feed_id = 10").isEmpty()
+    rows = spark.createDataFrame([(1, 30), (1, 31), (7, 30)], "user_id long, article_id long")
+    assert {(r.user_id, r.article_id) for r in reading.above_threshold(t, rows, -1).collect()} == {(1, 31), (7, 30)}

@@ -82,14 +82,15 @@ def unread_ids(t: Tables) -> DataFrame:
     return readers.joined_ids(t.subscriptions, dated(t), read(t))
 
 
-def rule_scores(t: Tables) -> DataFrame:
-    """(user_id, article_id, rule_score) of subscribed articles that rules match; each rule counts once per article."""
+def rule_scores(t: Tables, subscribed: bool = True) -> DataFrame:
+    """(user_id, article_id, rule_score) of articles, subscribed ones or all, that rules match; each rule counts once per article."""
     author = t.authors.select("article_id", F.lit("author").alias("kind"), F.lower("name").alias("value"))
     category = t.categories.select("article_id", F.lit("category").alias("kind"), F.lower("category").alias("value"))
     kind = F.when(F.col("axis") == "author", "author").otherwise("category")
     rules = t.rules.select("rule_id", "user_id", F.col("feed_id").alias("rule_feed"), kind.alias("kind"), F.lower("value").alias("value"), "score")
     hits = author.unionByName(category).join(broadcast_if_small(rules), ["kind", "value"]).withColumnRenamed("article_id", "id")
-    own = readers.of_subscribed(t.subscriptions, dated(t), hits).where("rule_feed IS NULL OR rule_feed = feed_id")
+    own = readers.of_subscribed(t.subscriptions, dated(t), hits) if subscribed else hits.join(readers.light(dated(t)), "id")
+    own = own.where("rule_feed IS NULL OR rule_feed = feed_id")
     once = _named(own.select("user_id", "id", "rule_id", "score").distinct())
     return once.groupBy("user_id", "article_id").agg(F.sum("score").alias("rule_score"))
 
@@ -97,12 +98,12 @@ def rule_scores(t: Tables) -> DataFrame:
 def above_threshold(t: Tables, articles: DataFrame, threshold: int | None) -> DataFrame:
     """Keep articles whose rules sum to the threshold; users without rules keep all.
 
-    Only rows of users with rules meet the scores.
+    Only rows of users with rules meet the scores, subscribed or not: ``articles`` says which are listed.
     """
     if threshold is None:
         return articles
     ruled = broadcast_if_small(t.rules.select("user_id").distinct())
-    met = articles.join(ruled, "user_id", "left_semi").join(rule_scores(t), ["user_id", "article_id"], "left")
+    met = articles.join(ruled, "user_id", "left_semi").join(rule_scores(t, subscribed=False), ["user_id", "article_id"], "left")
     met = met.where(F.coalesce("rule_score", F.lit(0)) >= threshold).select(articles.columns)
     return articles.join(ruled, "user_id", "left_anti").unionByName(met)
 
