@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,28 @@ def test_rules_hold_for_articles_that_are_not_subscribed(spark):
     assert t.subscriptions.where("user_id = 1 AND feed_id = 10").isEmpty()
     rows = spark.createDataFrame([(1, 30), (1, 31), (7, 30)], "user_id long, article_id long")
     assert {(r.user_id, r.article_id) for r in reading.above_threshold(t, rows, -1).collect()} == {(1, 31), (7, 30)}
+
+
+@pytest.mark.parametrize("name", ["queue", "unread", "vectors"])
+@pytest.mark.parametrize("light", [readers.LIGHT_BYTES, 0])
+def test_a_listing_is_small_as_a_file(spark, crowd, tmp_path, monkeypatch, name, light):
+    """Blocks of readers lie article by article: far less than the two bytes a pair that a reader at a time takes."""
+    monkeypatch.setattr(readers, "LIGHT_BYTES", light)
+    listing, rows = LISTINGS[name]
+    ids = listing(crowd).select("user_id", "id")
+    ids.write.parquet(str(tmp_path / "out"))
+    pages = [pq.ParquetFile(f).metadata.row_group(0) for f in (tmp_path / "out").glob("*.parquet") if pq.ParquetFile(f).metadata.num_rows]
+    assert sum(g.num_rows for g in pages) == rows and spark.read.parquet(str(tmp_path / "out")).distinct().count() == rows
+    assert sum(g.column(k).total_compressed_size for g in pages for k in range(2)) < rows / 3
+
+
+def test_parts_and_blocks_lose_no_pair(spark, crowd, monkeypatch):
+    """Blocks of seven readers and parts of 30 articles, by broadcast and without."""
+    monkeypatch.setattr(readers, "BLOCK", 7)
+    monkeypatch.setattr(readers, "PART", 30)
+    monkeypatch.setattr(readers, "TASK", 1000)
+    want = {(u, a) for u in range(USERS) for a in range(ARTICLES) if not (u % ARTICLES == a and u % 2 == 0)}
+    for light in (readers.LIGHT_BYTES, 0):
+        monkeypatch.setattr(readers, "LIGHT_BYTES", light)
+        found = [(r.user_id, r.id) for r in shelf.unread(crowd).collect()]
+        assert len(found) == len(want) and set(found) == want
