@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import prompts, readers
 from tidewell.plans.scratch import materialize
 from tidewell.sources.star import Star, conform
+from tests.test_readers import shuffled
 
 USERS, ARTICLES = 40, 12
 
@@ -63,3 +65,25 @@ def test_every_reader_gets_the_answers(spark, monkeypatch):
     told = {(u, a): "Short" for u, a in due if a and a % 3 and a != 5}
     assert summaries == told | {(5, 6): "old"}
     assert rows["security"] <= 2 * ARTICLES and rows["curation"] <= 2 * ARTICLES and rows["summarization"] <= ARTICLES  # not users times articles
+
+
+@pytest.mark.parametrize("light", [readers.LIGHT_BYTES, 0])
+def test_pairs_meet_no_reading_state(spark, monkeypatch, light):
+    """However large reading state is: 300 readers with a failed article each, 90 articles."""
+    monkeypatch.setattr(readers, "LIGHT_BYTES", light)
+    users = spark.range(300)
+    articles = spark.range(90).select("id", F.lit(1).alias("feed_id"), F.concat(F.lit("t"), "id").alias("title"), F.lit("some long content").alias("content"))
+    state = users.select(F.col("id").alias("user_id"), (F.col("id") % 90).alias("article_id"), F.lit(True).alias("read"), F.lit(False).alias("ai_scored"), F.lit(1).alias("ai_retries"))
+    tables = {"users": users, "user_feeds": users.select(F.col("id").alias("user_id"), F.lit(1).alias("feed_id")), "articles": articles, "read_state": state}
+    s = Star(spark, {n: conform(t, n) for n, t in tables.items()})
+
+    def model(sql):
+        return lambda asked: asked.withColumn("response", F.expr(sql))
+
+    after = prompts.process(s, model("CASE WHEN id > 0 THEN '{\"safe\": true, \"score\": 8}' END"), model("'{\"interest_score\": 5}'"), model("'Short'"), materialize)
+    assert shuffled(spark, after["read_state"]) < 300 * 90 / 5
+    found = {(r.user_id, r.article_id): r for r in after["read_state"].collect()}
+    assert len(found) == after["read_state"].count() == 300 * 90
+    for (u, a), r in found.items():
+        own = u % 90 == a
+        assert (bool(r.read), r.ai_scored, r.ai_retries, r.interest_score) == (own, a > 0, own + (a == 0), 5.0 if a else None)
