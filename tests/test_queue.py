@@ -87,3 +87,21 @@ def test_pairs_meet_no_reading_state(spark, monkeypatch, light):
     for (u, a), r in found.items():
         own = u % 90 == a
         assert (bool(r.read), r.ai_scored, r.ai_retries, r.interest_score) == (own, a > 0, own + (a == 0), 5.0 if a else None)
+
+
+def test_contents_are_not_shuffled_by_user(spark):
+    """Few users ask about all articles: their prompts and keywords go to the contents."""
+    seen = []
+
+    def model(rows):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return rows.withColumn("response", F.lit("{\"safe\": true, \"score\": 8, \"interest_score\": 5}"))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # what Spark estimates does not count
+    try:
+        prompts.looked(crowd(spark), model, model, model, materialize)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    top = [next(line for line in plan.splitlines() if "Join " in line) for plan in seen]
+    assert len(top) == 3 and all("strategy=broadcast" in line for line in top)
